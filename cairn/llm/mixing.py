@@ -21,13 +21,16 @@ from cairn.llm.common import cut
 #: Labelled rows of each domain that the classifier is fitted on, at most.
 SAMPLE_ROWS = 2000
 #: Words that a document is classified by, at most: those that tell domains apart best.
-WORDS = 2000
+WORDS = 1000
+#: Documents of the sample that a word is in, at least.
+LEAST_DOCS = 8
+WORD = re.compile(r"[^\W_]+")
 SIGNS = re.compile(r"[^\w\s]{2,}")
 SHAPES = 4
 
 
 def features(text: str | None) -> tuple[int, set[str], list[float]]:
-    """Tokens (runs between white space), distinct words in lower case, and shares of tokens
+    """Tokens (runs between white space), distinct runs of letters and digits in lower case, and shares of tokens
     that look unlike prose: in capitals, with runs of signs, repeating the last, signs only."""
     words = (text or "").split()
     n = len(words)
@@ -37,39 +40,34 @@ def features(text: str | None) -> tuple[int, set[str], list[float]]:
     signs = len(SIGNS.findall(text))
     again = sum(a == b for a, b in zip(words, words[1:], strict=False))
     bare = sum(not w[0].isalnum() and len(w) == 1 for w in words)
-    return n, {w.lower() for w in words}, [min(1.0, 4 * x / n) for x in (capitals, signs, again, bare)]
-
-
-def choose_words(bags: list[set[str]], labels: list[str], most: int = WORDS, least_z: float = 4.5) -> list[str]:
-    """Words whose share of documents differs most between a domain and the rest, by z-score."""
-    domains, all_, by = sorted(set(labels)), Counter(), {}
-    for bag, d in zip(bags, labels, strict=True):
-        all_.update(bag)
-        by.setdefault(d, Counter()).update(bag)
-    n, best = len(bags), {}
-    size = Counter(labels)
-    for w, c in all_.items():
-        if c >= 8:
-            z = 0.0
-            for d in domains:
-                a, m = by[d][w], size[d]
-                p = (c + 1) / (n + 2)
-                if m < n:
-                    z = max(z, abs(a / m - (c - a) / (n - m)) / np.sqrt(p * (1 - p) * (1 / m + 1 / (n - m))))
+    return n, set(WORD.findall(text.lower())), [min(1.0, 4 * x / n) for x in (capitals, signs, again, bare)]
+
+
+def choose_words(counts: list[tuple[str, dict[str, int]]], size: dict[str, int], most: int = WORDS, least_z: float = 4.5) -> list[str]:
+    """Words whose share of documents differs most between a domain and the rest, by z-score.
+    counts: of each word, its documents by domain; size: documents of each domain."""
+    n, best = sum(size.values()), {}
+    for w, by in counts:
+        c, z = sum(by.values()), 0.0
+        for d, m in size.items():
+            a, p = by.get(d, 0), (c + 1) / (n + 2)
+            if 0 < m < n:
+                z = max(z, abs(a / m - (c - a) / (n - m)) / np.sqrt(p * (1 - p) * (1 / m + 1 / (n - m))))
+        if z >= least_z:
             best[w] = z
-    return sorted((w for w in best if best[w] >= least_z), key=lambda w: (-best[w], w))[:most]
+    return sorted(best, key=lambda w: (-best[w], w))[:most]
 
 
-def fit(samples: list[tuple[str, set[str], list[float]]], prior: dict[str, float], steps: int = 250, rate: float = 0.1, penalty: float = 1e-3) -> dict:
-    """Softmax regression over chosen words and shapes, by full-batch gradient steps; prior:
-    each domain's share of the labelled table, which the balanced sample is set back to."""
+def fit(samples: list[tuple[str, list[int], list[float]]], words: list[str], prior: dict[str, float], steps: int = 250, rate: float = 0.1, penalty: float = 1e-3) -> dict:
+    """Softmax regression over chosen words (samples have their indices) and shapes, by full-batch
+    gradient steps; prior: each domain's share of the labelled table, which the balanced
+    sample is set back to."""
     labels = [s[0] for s in samples]
     domains = sorted(prior)
-    words = choose_words([s[1] for s in samples], labels)
     at = {w: i for i, w in enumerate(words)}
     x = np.zeros((len(samples), len(words) + SHAPES + 1), np.float32)
     for row, (_, bag, shape) in zip(x, samples, strict=True):
-        row[[at[w] for w in bag if w in at]] = 1
+        row[bag] = 1
         row[len(words) : -1] = shape
         row[-1] = 1
     y = np.array([domains.index(d) for d in labels])
@@ -113,9 +111,20 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], rows: int = SA
             got = [features(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(b) for _, b, _ in got], pa.list_(pa.string())), pa.array([s for *_, s in got], pa.list_(pa.float64()))], ["doc_id", "domain", "bag", "shape"])
 
-    found = chosen.mapInArrow(run, "doc_id long, domain string, bag array<string>, shape array<double>").collect()
-    samples = [(r[1], set(r[2]), r[3]) for r in sorted(found, key=lambda r: (r[0], r[1], r[2]))]
-    return fit(samples, prior)
+    found = cut(chosen.mapInArrow(run, "doc_id long, domain string, bag array<string>, shape array<double>"))
+    size = dict(map(tuple, found.groupBy("domain").count().collect()))
+    by_word = found.select("domain", F.explode("bag").alias("word")).groupBy("word").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)])
+    often = by_word.where(sum((F.col(f"n{i}") for i in range(1, len(domains))), F.col("n0")) >= LEAST_DOCS)
+    words = choose_words([(r[0], dict(zip(domains, r[1:], strict=True))) for r in often.collect()], {d: size.get(d, 0) for d in domains})
+    sent = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+    def indices(batches):
+        for batch in batches:
+            at = [[sent.value[w] for w in bag if w in sent.value] for bag in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int64())), batch.column(3)], ["doc_id", "domain", "at", "shape"])
+
+    rows = found.mapInArrow(indices, "doc_id long, domain string, at array<long>, shape array<double>").collect()
+    return fit([(r[1], r[2], r[3]) for r in sorted(rows, key=lambda r: (r[0], r[1], r[3]))], words, prior)
 
 
 def memberships(docs: DataFrame, model: dict) -> DataFrame:
@@ -160,7 +169,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
         reached = np.array(members.select(rate.alias("r"), t.alias("t"), *[x.alias(f"p{i}") for i, x in enumerate(p)]).agg(*[F.sum(F.col("r") * F.col("t") * F.col(f"p{i}")) for i in range(n)]).first(), float)
         error = reached - goal
         objective = float((error * error / curve).sum())
-        if len(steps) >= most_steps or np.abs(error).max() <= tolerance * total or objective > 0.97 * last:
+        if len(steps) >= most_steps or np.abs(error).max() <= tolerance * total or objective > 0.99 * last:
             return members.withColumn("rate", rate), dict(zip(domains, reached.tolist(), strict=True))
         last = objective
         steps.append(0.7 * error / curve)
