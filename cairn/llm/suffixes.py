@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import cut
 
-WIDTH, GRAM, CHAR = 100, 24, 12
+WIDTH, GRAM, CHAR = 100, 56, 12
 TRIPLE, DEEP = 3 * CHAR, 9 * CHAR
 #: Bytes of text that are hashed at once, at least one document.
 CHUNK = 1 << 20
@@ -183,8 +183,8 @@ def _cuts(starts: str):
 def sample_ranks(regions: DataFrame) -> DataFrame:
     """(rid, o, rank) of the sampled suffixes that start before windows + 2 characters."""
     sample = regions.select("rid", "windows", "text").mapInArrow(_cuts("sample"), "rid long, o long, s binary")
-    names = _ascending(sample.select("s").distinct(), "s")
-    named = sample.join(names, "s").groupBy("rid").agg(F.collect_list(F.struct("o", "name")).alias("names"))
+    names = _ascending(sample.select("s").distinct(), "s").select(F.xxhash64("s").alias("h"), "name")  # 8 bytes to join by, for 36
+    named = sample.select("rid", "o", F.xxhash64("s").alias("h")).join(names, "h").groupBy("rid").agg(F.collect_list(F.struct("o", "name")).alias("names"))
 
     def run(batches):
         for batch in batches:
