@@ -24,13 +24,16 @@ and only one row for each partition of a sort reaches the driver.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut
+from cairn.llm import common
+
+cut = partial(common.cut, free=True)
 
 WIDTH, GRAM, CHAR = 100, 56, 12
 TRIPLE, DEEP = 3 * CHAR, 9 * CHAR
@@ -241,6 +244,7 @@ def equal_windows(regions: DataFrame) -> DataFrame:
     rank_at = lambda by: ranks.select("rid", (F.col("o") - by).alias("o"), F.col("rank").alias(f"r{by}"))
     joined = own.join(rank_at(0), ["rid", "o"], "left").join(rank_at(CHAR), ["rid", "o"], "left").join(rank_at(2 * CHAR), ["rid", "o"], "left")
     wide = cut(joined.withColumn("rank", F.when(F.col("kind") > 0, F.col("r0"))).drop("r0"))
+    del joined, own, ranks
     one = _before(wide.where("kind <> 2").select(F.substring("s", 1, CHAR).alias("key"), F.coalesce(f"r{CHAR}", F.lit(-1)).alias("behind"), "kind", "rid", "o", "rank"))
     two = _before(wide.where("kind <> 1").select(F.col("s").alias("key"), F.coalesce(f"r{2 * CHAR}", F.lit(-1)).alias("behind"), "kind", "rid", "o", "rank"))
     merged = one.select("rid", "o", "pred", "place").join(two.select("rid", "o", F.col("pred").alias("pred2")), ["rid", "o"])
@@ -310,8 +314,9 @@ def _regions(batches):
 def later_windows(docs: DataFrame) -> DataFrame:
     """(ord, at, windows): of docs (ord, t), the windows whose string starts earlier. ord: a
     distinct long for each row; smaller is earlier."""
-    counts = occurrences(docs).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    counts = cut(occurrences(docs).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     found = cut(occurrences(docs).join(counts, "anchor"))
+    del counts
     spread = cut(found.groupBy("anchor").agg((F.min("ctx") != F.max("ctx")).alias("open")))
     first = cut(found.groupBy("anchor", "ctx").agg(F.min("ord").alias("first")))
     marked = found.join(first, ["anchor", "ctx"]).withColumn("is_first", (F.col("ord") == F.col("first")) & F.col("fresh"))
@@ -319,8 +324,10 @@ def later_windows(docs: DataFrame) -> DataFrame:
     open_ = marked.where("is_first").join(spread.where("open"), "anchor")
     by_doc = open_.groupBy("ord").agg(F.collect_list(F.struct("at", "windows")).alias("open"))
     regions = docs.join(by_doc, "ord").select("ord", "t", "open").mapInArrow(_regions, "ord long, start long, windows long, text binary")
+    del found, first, spread, open_, by_doc
     regions = cut(regions.withColumn("rid", F.monotonically_increasing_id()))
     runs = cut(equal_windows(regions))
+    del regions
     place = F.struct("ord", "at")
     least = cut(runs.groupBy("run").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
     sorted_out = runs.join(least, "run").where(place != F.col("least")).select("ord", "at", F.lit(1).cast("long").alias("windows"))
