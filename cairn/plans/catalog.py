@@ -1,10 +1,362 @@
-"""The queries over the reference's own operators, and their SQL."""
+"""The queries over content-addressed data, each with the SQL it is held against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cairn.functions.codecs import BASE32, base32_of_hex, data_uri, percent_decode, percent_encode, xml_escape
+from cairn.functions.ordering import natural_key
+from cairn.functions.urn import PURE, equivalent, post_sector_path, sha1_part, sha1_urn, tiger_part
+from cairn.operators import commits, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def b32(digest: str, n: int = 32) -> str:
+    """DuckDB's base32 of a hex digest."""
+    return (
+        f"array_to_string(list_transform(range(0, {n}), lambda i: substr('{BASE32}', CAST(1 + ((CAST('0x' || substr(rpad({digest}, 50, '0'), 1 + (i // 4) * 5, 5) AS INTEGER)"
+        " >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '')"
+    )
+
+
+def urn(text: str) -> str:
+    return f"'urn:sha1:' || {b32(f'sha1({text})')}"
+
+
+def natural(name: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({name}, '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(CAST(length(regexp_replace(p, '^0+', '')) AS VARCHAR), 4, '0') || regexp_replace(p, '^0+', '') ELSE p END), '')"
+
+
+# Blobs and stores
+
+
+@query(f"SELECT {urn('text')} AS urn, octet_length(encode(text)) AS size, count(*) AS copies, min(doc_id) AS first_doc, substr({b32('sha1(text)')}, 1, 2) || '/' || {b32('sha1(text)')} AS path FROM documents GROUP BY text")
+def blob_manifest(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", sha1_urn(F.col("text")).alias("urn"), F.octet_length("text").cast("long").alias("size"))
+    found = docs.groupBy("urn", "size").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+    return found.withColumn("path", post_sector_path(F.substring("urn", 10, 32)))
+
+
+@query("SELECT source, count(*) AS blobs, count(DISTINCT sha1(text)) AS kept, count(DISTINCT sha1(text)) / count(*) AS ratio FROM documents GROUP BY source")
+def blob_dedup_ratio(spark, d):
+    docs = read(spark, d, "documents").select("source", F.sha1(F.col("text").cast("binary")).alias("h"))
+    return docs.groupBy("source").agg(F.count("*").alias("blobs"), F.count_distinct("h").alias("kept")).withColumn("ratio", F.col("kept") / F.col("blobs"))
+
+
+@query(f"SELECT doc_id, {urn('text')} AS urn, doc_id % 7 <> 0 AS valid FROM documents")
+def blob_verify(spark, d):
+    docs = read(spark, d, "documents").withColumn("urn", sha1_urn(F.col("text")))
+    read_back = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return docs.select("doc_id", "urn", (sha1_urn(read_back) == F.col("urn")).alias("valid"))
+
+
+@query(f"SELECT source AS sector, substr({b32('sha1(text)')}, 1, 2) AS prefix, count(DISTINCT sha1(text)) AS blobs FROM documents GROUP BY 1, 2")
+def blob_store_sectors(spark, d):
+    docs = read(spark, d, "documents").select(F.col("source").alias("sector"), sha1_urn(F.col("text")).alias("urn"))
+    return docs.groupBy("sector", F.substring("urn", 10, 2).alias("prefix")).agg(F.count_distinct("urn").alias("blobs"))
+
+
+@query("""SELECT h AS sha1, source, doc_id FROM (SELECT sha1(text) AS h, source, doc_id, row_number() OVER (PARTITION BY sha1(text) ORDER BY CASE WHEN source IN ('src0', 'src1') THEN 0 ELSE 1 END, source, doc_id) AS k FROM documents) WHERE k = 1""")
+def urn_lookup_priority(spark, d):
+    docs = read(spark, d, "documents").select(F.sha1(F.col("text").cast("binary")).alias("sha1"), "source", "doc_id")
+    rank = F.struct(F.when(F.col("source").isin("src0", "src1"), 0).otherwise(1), "source", "doc_id")
+    return docs.groupBy("sha1").agg(F.min_by(F.struct("source", "doc_id"), rank).alias("b")).select("sha1", "b.*")
+
+
+@query("""SELECT a.doc_id, b.doc_id IS NOT NULL AS hit FROM documents a LEFT JOIN (SELECT doc_id, n_chars + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS size FROM documents WHERE doc_id % 3 <> 0) b ON a.doc_id = b.doc_id AND a.n_chars = b.size""")
+def hash_cache_hits(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "n_chars")
+    cache = docs.where("doc_id % 3 <> 0").select("doc_id", (F.col("n_chars") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("n_chars"), F.lit(True).alias("hit"))
+    return docs.join(cache, ["doc_id", "n_chars"], "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+@query("SELECT DISTINCT sha1(text) AS sha1 FROM documents WHERE lang <> 'en' AND sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE lang = 'en')")
+def missing_blobs(spark, d):
+    docs = read(spark, d, "documents").select("lang", F.sha1(F.col("text").cast("binary")).alias("sha1"))
+    return docs.where("lang <> 'en'").select("sha1").distinct().join(docs.where("lang = 'en'"), "sha1", "left_anti")
+
+
+# Codecs
+
+
+@query("SELECT c_custkey, lower(hex(c_name)) AS base16, upper(hex(c_name)) AS upper16, c_name AS back FROM customer")
+def base16_codec(spark, d):
+    return read(spark, d, "customer").select("c_custkey", F.lower(F.hex("c_name")).alias("base16"), F.hex("c_name").alias("upper16"), F.unhex(F.hex("c_name")).cast("string").alias("back"))
+
+
+@query(f"SELECT p_partkey, {b32('sha1(p_name)')} AS base32 FROM part")
+def base32_codec(spark, d):
+    return read(spark, d, "part").select("p_partkey", base32_of_hex(F.sha1(F.col("p_name").cast("binary")), 20).alias("base32"))
+
+
+@query("SELECT p_partkey, base64(encode(p_name)) AS base64, p_name AS back FROM part")
+def base64_codec(spark, d):
+    coded = F.base64(F.col("p_name").cast("binary"))
+    return read(spark, d, "part").select("p_partkey", coded.alias("base64"), F.unbase64(coded).cast("string").alias("back"))
+
+
+@query("SELECT item_id, url_encode(text) AS encoded, text AS back FROM benchmark")
+def percent_codec(spark, d):
+    return read(spark, d, "benchmark").select("item_id", percent_encode(F.col("text")).alias("encoded"), percent_decode(percent_encode(F.col("text"))).alias("back"))
+
+
+@query("SELECT item_id, 'data:,' || url_encode(text) AS uri, octet_length(encode(text)) AS size FROM benchmark")
+def data_uri_roundtrip(spark, d):
+    made = read(spark, d, "benchmark").select("item_id", data_uri(F.col("text")).alias("uri"))
+    return made.select("item_id", "uri", F.octet_length(percent_decode(F.substring_index("uri", ",", -1))).cast("long").alias("size"))
+
+
+# Addresses
+
+
+@query(f"SELECT doc_id, u, {b32('sha1(text)')} AS sha1, doc_id % 3 = 1 AS has_tiger, true AS pure FROM (SELECT *, CASE WHEN doc_id % 3 = 1 THEN 'urn:bitprint:' || {b32('sha1(text)')} || '.' || repeat('C', 39) ELSE {urn('text')} END AS u FROM documents)")
+def urn_parse(spark, d):
+    base = F.substring(sha1_urn(F.col("text")), 10, 32)
+    u = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("urn:bitprint:"), base, F.lit("." + "C" * 39))).otherwise(F.concat(F.lit("urn:sha1:"), base))
+    docs = read(spark, d, "documents").select("doc_id", u.alias("u"))
+    return docs.select("doc_id", "u", sha1_part(F.col("u")).alias("sha1"), tiger_part(F.col("u")).isNotNull().alias("has_tiger"), F.col("u").rlike(PURE).alias("pure"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE NULL END AS same FROM documents""")
+def urn_equivalence(spark, d):
+    """Against itself, another blob, a bitprint of the same blob, and a tree hash alone."""
+    docs = read(spark, d, "documents").select("doc_id", sha1_urn(F.col("text")).alias("a"))
+    sha = F.substring("a", 10, 32)
+    b = F.when(F.col("doc_id") % 4 == 0, F.col("a")).when(F.col("doc_id") % 4 == 1, F.lit("urn:sha1:" + "A" * 32)).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("urn:bitprint:"), sha, F.lit("." + "C" * 39))).otherwise(F.lit("urn:tree:tiger:" + "C" * 39))
+    return docs.select("doc_id", equivalent(F.col("a"), b).alias("same"))
+
+
+@query("""SELECT page_id, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') AS is_uri, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:/') AS hierarchical, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_matches(url, '[?]') AS has_query FROM pages""")
+def uri_predicates(spark, d):
+    u = F.col("url")
+    return read(spark, d, "pages").select("page_id", u.rlike("^[A-Za-z][A-Za-z0-9+.-]*:").alias("is_uri"), u.rlike("^[A-Za-z][A-Za-z0-9+.-]*:/").alias("hierarchical"), F.regexp_extract(u, "^[a-z]+://([^/]+)", 1).alias("host"), u.contains("?").alias("has_query"))
+
+
+@query("""WITH q AS (SELECT page_id, unnest(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&')) AS arg FROM pages WHERE url LIKE '%?%')
+SELECT page_id, string_split(arg, '=')[1] AS name, CASE WHEN arg LIKE '%=%' THEN string_split(arg, '=')[2] ELSE 'flag' END AS value FROM q WHERE arg <> ''""")
+def query_args(spark, d):
+    pages = read(spark, d, "pages").where(F.col("url").contains("?"))
+    args = pages.select("page_id", F.explode(F.split(F.regexp_extract("url", "[?]([^#]*)", 1), "&")).alias("arg")).where("arg <> ''")
+    parts = F.split("arg", "=")
+    return args.select("page_id", parts[0].alias("name"), F.when(F.col("arg").contains("="), F.get(parts, F.lit(1))).otherwise("flag").alias("value"))
+
+
+# Order and trees
+
+
+@query(f"SELECT source, row_number() OVER (ORDER BY {natural('source')}) AS rank FROM (SELECT DISTINCT source FROM documents)")
+def natural_sort_rank(spark, d):
+    sources = read(spark, d, "documents").select("source").distinct()  # as many as there are sources
+    return sources.select("source", F.row_number().over(Window.orderBy(natural_key(F.col("source")))).cast("long").alias("rank"))
+
+
+TREE = "SELECT r_name || '/' || n_name || '/' || replace(c_name, '#', '-') AS path, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+
+
+def customer_tree(spark, d):
+    nation = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    both = read(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    return both.select(F.concat_ws("/", "r_name", "n_name", F.replace("c_name", F.lit("#"), F.lit("-"))).alias("path"), "c_custkey", "c_acctbal", "n_name", "r_name")
+
+
+@query(f"""WITH t AS ({TREE}), e AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:n], '/') AS path, string_split(path, '/')[n] AS name, CAST(n AS INTEGER) AS depth, n < 3 AS is_dir FROM t, (VALUES (1), (2), (3)) v(n))
+SELECT path, name, depth, is_dir FROM e""")
+def tree_walk(spark, d):
+    return trees.with_directories(customer_tree(spark, d))
+
+
+@query(f"""WITH t AS ({TREE}), e AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:n], '/') AS path, string_split(path, '/')[n] AS name, n < 3 AS is_dir FROM t, (VALUES (1), (2), (3)) v(n))
+SELECT path, row_number() OVER (PARTITION BY CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END ORDER BY is_dir DESC, {natural('name')}, name) AS place FROM e""")
+def listing_type_then_name(spark, d):
+    up = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+    order = Window.partitionBy(up).orderBy(F.desc("is_dir"), natural_key(F.col("name")), "name")
+    return trees.with_directories(customer_tree(spark, d)).select("path", F.row_number().over(order).cast("long").alias("place"))
+
+
+RULES = ["# customers", "*1", "!/ASIA/**/*11", "", "/EUROPE/**", "**/FRANCE/*2"]
+
+
+@query(f"""SELECT path, CASE WHEN regexp_matches(path, '^(.*/)?FRANCE/[^/]*2$') THEN true WHEN path LIKE 'EUROPE/%' THEN true WHEN regexp_matches(path, '^ASIA(.*/)*[^/]*11$') THEN false WHEN path LIKE '%1' THEN true ELSE false END AS ignored FROM ({TREE})""")
+def ignore_glob(spark, d):
+    return customer_tree(spark, d).select("path", trees.ignored(F.col("path"), RULES).alias("ignored"))
+
+
+@query("SELECT o_custkey, max(l_shipdate) AS newest, count(*) AS blobs, bool_and(l_linestatus = 'F') AS fully_stored FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey")
+def subtree_rollup(spark, d):
+    """Highest blob time and whether all is stored, of each customer's tree of orders and lines."""
+    lines = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("newest"), F.count("*").alias("blobs"), F.bool_and(F.col("l_linestatus") == "F").alias("fully_stored"))
+    both = lines.join(read(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return both.groupBy("o_custkey").agg(F.max("newest").alias("newest"), F.sum("blobs").alias("blobs"), F.bool_and("fully_stored").alias("fully_stored"))
+
+
+@query("""WITH n AS (SELECT n_regionkey, sha1(string_agg(n_name || ':' || sha1(n_name), chr(10) ORDER BY n_name)) AS id FROM nation GROUP BY 1), r AS (SELECT r_name, id FROM n JOIN region ON n_regionkey = r_regionkey)
+SELECT r_name AS path, id FROM r UNION ALL SELECT '' AS path, sha1(string_agg(r_name || ':' || id, chr(10) ORDER BY r_name)) AS id FROM r""")
+def merkle_ids(spark, d):
+    listing = lambda name, id_: F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), F.col(id_).alias("i")))), lambda e: F.concat_ws(":", e["n"], e["i"])), "\n").cast("binary")).alias("id")
+    nations = read(spark, d, "nation").withColumn("id", F.sha1(F.col("n_name").cast("binary"))).groupBy("n_regionkey").agg(listing("n_name", "id"))
+    regions = nations.join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("path"), "id")
+    return regions.unionByName(regions.agg(listing("path", "id")).select(F.lit("").alias("path"), "id"))
+
+
+OLD, NEW = "SELECT CAST(o_custkey AS VARCHAR) || '/' || CAST(o_orderkey AS VARCHAR) AS path, md5(CAST(o_orderkey % 5 AS VARCHAR)) AS urn FROM orders WHERE o_orderkey % 4 <> 0", "SELECT CAST(o_custkey AS VARCHAR) || '/' || CAST(o_orderkey AS VARCHAR) AS path, md5(CAST(o_orderkey % 5 + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS VARCHAR)) AS urn FROM orders WHERE o_orderkey % 5 <> 0"
+BOTH = f"WITH o AS ({OLD}), n AS ({NEW}), b AS (SELECT coalesce(o.path, n.path) AS path, o.urn AS o, n.urn AS n FROM o FULL JOIN n ON o.path = n.path)"
+
+
+def snapshots(spark, d):
+    orders = read(spark, d, "orders").withColumn("path", F.concat_ws("/", "o_custkey", "o_orderkey"))
+    old = orders.where("o_orderkey % 4 <> 0").select("path", F.md5((F.col("o_orderkey") % 5).cast("string").cast("binary")).alias("urn"))
+    new = orders.where("o_orderkey % 5 <> 0").select("path", F.md5((F.col("o_orderkey") % 5 + F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)).cast("string").cast("binary")).alias("urn"))
+    return old, new
+
+
+@query(f"{BOTH} SELECT path, 'D' AS op FROM b WHERE o IS NOT NULL AND o IS DISTINCT FROM n UNION ALL SELECT path, 'A' AS op FROM b WHERE n IS NOT NULL AND o IS DISTINCT FROM n")
+def tree_diff(spark, d):
+    return trees.diff(*snapshots(spark, d))
+
+
+@query(NEW)
+def changeset_apply(spark, d):
+    old, new = snapshots(spark, d)
+    return trees.apply_changes(old, trees.diff(old, new), new)
+
+
+for _policy in ("Ignore", "Replace", "Fail", "Same?Ignore:Fail", "Same?Ignore:Replace"):
+    _same, _other = _policy.removeprefix("Same?").split(":") if "?" in _policy else (_policy, _policy)
+
+    def _merge(spark, d, policy=_policy):
+        return trees.merge(*snapshots(spark, d), policy)
+
+    _name = "tree_merge_" + _policy.lower().replace("?", "_").replace(":", "_")
+    QUERIES[_name] = _merge
+    ORACLES[_name] = f"""{BOTH}, m AS (SELECT *, CASE WHEN o IS NULL OR n IS NULL THEN 'Add' WHEN o = n THEN '{_same}' ELSE '{_other}' END AS method FROM b)
+        SELECT path, CASE WHEN method = 'Replace' THEN n ELSE coalesce(o, n) END AS urn, method = 'Fail' AS conflict FROM m"""
+
+
+# Heads and commits
+
+
+@query("SELECT conv_id, max(turn) AS latest, max(turn) + 1 AS new FROM conversations GROUP BY conv_id")
+def heads_latest(spark, d):
+    return read(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("latest")).withColumn("new", F.col("latest") + 1)
+
+
+EDGES = """SELECT conv_id * 100 + turn AS child, conv_id * 100 + turn - 1 AS parent FROM conversations WHERE turn > 0
+UNION SELECT a.conv_id * 100 + a.turn, b.conv_id * 100 + b.turn FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id - 1 AND b.turn = a.turn - 1"""
+
+
+def commit_edges(spark, d):
+    turns = read(spark, d, "conversations").select("conv_id", "turn")
+    own = turns.where("turn > 0").select((F.col("conv_id") * 100 + F.col("turn")).alias("child"), (F.col("conv_id") * 100 + F.col("turn") - 1).alias("parent"))
+    other = turns.select((F.col("conv_id") + 1).alias("conv_id"), (F.col("turn") + 1).alias("turn"), (F.col("conv_id") * 100 + F.col("turn")).alias("parent"))
+    across = turns.join(other, ["conv_id", "turn"]).select((F.col("conv_id") * 100 + F.col("turn")).alias("child"), "parent")
+    return own.unionByName(across).distinct()
+
+
+def commit_nodes(spark, d):
+    return read(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("node")).distinct()
+
+
+@query(f"WITH e AS ({EDGES}) SELECT child, count(*) AS parents, min(parent) AS first_parent FROM e GROUP BY child")
+def commit_parents(spark, d):
+    return commit_edges(spark, d).groupBy("child").agg(F.count("*").alias("parents"), F.min("parent").alias("first_parent"))
+
+
+UP = f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT DISTINCT conv_id * 100 + turn AS node, conv_id * 100 + turn AS ancestor, 0 AS depth FROM conversations UNION SELECT r.node, e.parent, r.depth + 1 FROM r JOIN e ON r.ancestor = e.child WHERE r.depth < 3), up AS (SELECT node, ancestor, min(depth) AS depth FROM r GROUP BY 1, 2)"
+
+
+@query(f"{UP} SELECT node, ancestor, depth FROM up")
+def commit_ancestors(spark, d):
+    return commits.ancestors(commit_edges(spark, d), commit_nodes(spark, d), 3)
+
+
+@query(f"{UP} SELECT DISTINCT conv_id * 100 + turn AS node FROM conversations WHERE turn >= 1 AND conv_id * 100 + turn NOT IN (SELECT ancestor FROM up WHERE depth > 0 AND node % 100 >= 1)")
+def filter_ancestors(spark, d):
+    return commits.filter_ancestors(commit_edges(spark, d), commit_nodes(spark, d).where("node % 100 >= 1"), 3)
+
+
+@query(f"""{UP}, p AS (SELECT DISTINCT conv_id * 100 + turn AS a, (conv_id + 1) * 100 + turn AS b FROM conversations WHERE turn >= 2)
+SELECT a, b, ancestor AS common FROM (SELECT p.a, p.b, x.ancestor, row_number() OVER (PARTITION BY p.a, p.b ORDER BY greatest(x.depth, y.depth), CASE WHEN x.depth > y.depth THEN 0 ELSE 1 END, x.ancestor) AS k FROM p JOIN up x ON x.node = p.a JOIN up y ON y.node = p.b AND y.ancestor = x.ancestor) WHERE k = 1""")
+def common_ancestor(spark, d):
+    pairs = commit_nodes(spark, d).where("node % 100 >= 2").select(F.col("node").alias("a"), (F.col("node") + 100).alias("b"))
+    return commits.common_ancestor(commit_edges(spark, d), pairs, 3)
+
+
+@query("SELECT event_id, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stored FROM events")
+def commit_unchanged_skip(spark, d):
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return read(spark, d, "events").select("event_id", (~F.col("event_type").eqNullSafe(before)).alias("stored"))
+
+
+@query("SELECT event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 60000000, false) AS hit FROM events")
+def ttl_cache_hits(spark, d):
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(order)
+    return read(spark, d, "events").select("event_id", F.coalesce(gap <= 60_000_000, F.lit(False)).alias("hit"))
+
+
+# Documents of other formats
+
+
+@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:src|href|resource)="([^"]*)"', 1)) AS link FROM pages), c AS (SELECT page_id, regexp_replace(link, '^/', '') AS link FROM l)
+SELECT page_id, CASE WHEN link LIKE '%/%' THEN regexp_extract(link, '^([^/]*)/', 1) ELSE link END AS name, link LIKE '%/%' AS is_dir, count(*) AS n FROM c WHERE link <> '' AND link NOT LIKE '../%' AND link NOT LIKE '?%' GROUP BY 1, 2, 3""")
+def html_listing(spark, d):
+    links = read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('(?:src|href|resource)="([^"]*)"'), F.lit(1))).alias("link"))
+    links = links.select("page_id", F.regexp_replace("link", "^/", "").alias("link")).where("link <> '' AND link NOT LIKE '../%' AND link NOT LIKE '?%'")
+    return links.groupBy("page_id", F.substring_index("link", "/", 1).alias("name"), F.col("link").contains("/").alias("is_dir")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, CASE WHEN contains(lower(substr(html, 1, 500)), '<html') THEN 'text/html' ELSE 'text/plain; charset=utf-8' END AS kind FROM pages")
+def content_sniff(spark, d):
+    return read(spark, d, "pages").select("page_id", F.when(F.lower(F.substring("html", 1, 500)).contains("<html"), "text/html").otherwise("text/plain; charset=utf-8").alias("kind"))
+
+
+@query("""SELECT event_id, replace(replace(replace(replace(props, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS xml, json_extract_string(props, '$.k') AS k FROM events""")
+def xml_escape_props(spark, d):
+    return read(spark, d, "events").select("event_id", xml_escape(F.col("props")).alias("xml"), F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("""SELECT n_regionkey, '<Directory>' || string_agg('<entry name="' || n_name || '"/>', '' ORDER BY n_name) || '</Directory>' AS xml FROM nation GROUP BY 1""")
+def rdf_directory_xml(spark, d):
+    entry = F.concat(F.lit('<entry name="'), xml_escape(F.col("n_name")), F.lit('"/>'))
+    named = F.array_sort(F.collect_list(F.struct("n_name", entry.alias("x"))))
+    return read(spark, d, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("<Directory>"), F.array_join(F.transform(named, lambda e: e["x"]), ""), F.lit("</Directory>")).alias("xml"))
+
+
+@query("SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, o_orderpriority) AS joined, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S GMT') AS stamp, date_diff('day', o_orderdate, TIMESTAMP '2000-01-01') AS days FROM orders")
+def concat_and_dates(spark, d):
+    return read(spark, d, "orders").select(
+        "o_orderkey", F.concat_ws(",", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")), "o_orderpriority").alias("joined"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss 'GMT'").alias("stamp"), F.datediff(F.lit("2000-01-01").cast("date"), F.col("o_orderdate").cast("date")).cast("long").alias("days"),
+    )
+
+
+@query("SELECT p_partkey, CAST(floor(p_size * 20 * least(128.0 / (p_size * 20), 128.0 / (p_size * 10 + 50), 1.0)) AS BIGINT) AS w, CAST(floor((p_size * 10 + 50) * least(128.0 / (p_size * 20), 128.0 / (p_size * 10 + 50), 1.0)) AS BIGINT) AS h FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size FROM part)")
+def image_scaled_dims(spark, d):
+    w, h = F.col("p_size").cast("double") * 20, F.col("p_size").cast("double") * 10 + 50
+    scale = F.least(F.lit(128.0) / w, F.lit(128.0) / h, F.lit(1.0))
+    return read(spark, d, "part").select("p_partkey", F.floor(w * scale).cast("long").alias("w"), F.floor(h * scale).cast("long").alias("h"))
+
+
+@query("SELECT p_partkey, lag(p_name) OVER w AS prev, lead(p_name) OVER w AS next FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_name, p_partkey)")
+def album_prev_next(spark, d):
+    order = Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")
+    return read(spark, d, "part").select("p_partkey", F.lag("p_name").over(order).alias("prev"), F.lead("p_name").over(order).alias("next"))
