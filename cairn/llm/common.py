@@ -49,10 +49,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(large.where("u <> v").distinct())
-        least = cut(e.groupBy("u").agg(F.min("v").alias("m")))
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
         linked = e.join(least, "u")
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = cut(small.where("u <> v").distinct())

@@ -2,11 +2,12 @@
 
 A graph of each vector's nearest neighbours starts from sorts along random hyperplane
 codes and is refined by comparing the neighbours of each vector, and the vectors it is a
-neighbour of, with each other, until few lists change. Every pair that is ever found at
-the threshold is an edge. Where a list is saturated, full of edges, it is enlarged to
-the vector's whole component, block by block, so that no link inside it is lost. Recall
-is audited against brute force over a sample; while it is low, more sorts are made.
-Exact copies are one vector with a weight throughout.
+neighbour of, with each other, until few lists change. These steps take a byte for each
+component, and every pair that is ever found within SLACK of the threshold is a
+candidate. Lists that candidates connect are enlarged to the whole component: it is
+compared in double precision, block by block, so that no link inside it is lost and none
+below the threshold stays. Recall is audited against brute force over a sample; while it
+is low, more sorts are made. Exact copies are one vector with a weight throughout.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 from cairn.llm.common import components, cut
 
 #: Neighbours in a list; sorts of the first graph and neighbours compared in each; rounds.
-K, TABLES, NEXT, ROUNDS = 10, 16, 6, 4
+K, TABLES, NEXT, ROUNDS = 10, 16, 6, 3
 #: The audit's queries, and the recall at which no more sorts are made.
 AUDIT, ENOUGH = 256, 0.99
 BLOCK = 512
+#: What a byte for each component may change a cosine by.
+SLACK = 0.005
 EDGE = "src long, dst long, sim double"
 
 
@@ -30,6 +33,24 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
 
 
+def _small(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of length 1 from a byte for each component."""
+    x = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def small_vectors(nodes: DataFrame, dim: int) -> DataFrame:
+    """(id, small) of nodes' id and unit: each component's share of the largest one, from -127 to 127."""
+
+    def run(batches):
+        for batch in batches:
+            x = _matrix(batch.column(1), dim)
+            x = np.rint(127 * x / np.abs(x).max(1, keepdims=True)).astype(np.int8) if len(x) else x
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "small"])
+
+    return nodes.select("id", "unit").mapInArrow(run, "id long, small binary")
+
+
 def _edges(src, dst, sim) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(sim, pa.float64())], ["src", "dst", "sim"])
 
@@ -61,16 +82,16 @@ def sorted_pairs(nodes: DataFrame, dim: int, tables: int, seed: int, threshold:
 
     def code(batches):
         for batch in batches:
-            x = _matrix(batch.column(1), dim)
+            x = _small(batch.column(1), dim)
             for t, p in enumerate(sent.value):
                 bits = np.packbits(x @ p > 0, axis=1)
                 key = pa.array([b.tobytes() for b in bits], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(x), pa.int32()), key, batch.column(0), batch.column(1)], ["table", "code", "id", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array([t] * len(x), pa.int32()), key, batch.column(0), batch.column(1)], ["table", "code", "id", "small"])
 
     def compare(batches):
         last: tuple | None = None
         for batch in batches:
-            table, ids, x = batch.column(0).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(3), dim)
+            table, ids, x = batch.column(0).to_numpy(), batch.column(2).to_numpy(), _small(batch.column(3), dim)
             if last:
                 table, ids, x = (np.concatenate(p) for p in zip(last, (table, ids, x), strict=True))
             new = len(last[1]) if last else 0
@@ -90,7 +111,7 @@ def sorted_pairs(nodes: DataFrame, dim: int, tables: int, seed: int, threshold:
                 yield _edges(np.concatenate([src[pick], dst[pick]]), np.concatenate([dst[pick], src[pick]]), np.tile(sim[pick], 2))
             last = (table[-NEXT:], ids[-NEXT:], x[-NEXT:])
 
-    coded = nodes.select("id", "unit").mapInArrow(code, "table int, code binary, id long, unit binary")
+    coded = nodes.select("id", "small").mapInArrow(code, "table int, code binary, id long, small binary")
     return coded.repartitionByRange("table", "code", "id").sortWithinPartitions("table", "code", "id").mapInArrow(compare, EDGE)
 
 
@@ -106,8 +127,8 @@ def local_join(graph: DataFrame, nodes: DataFrame, dim: int, k: int, threshold:
     farthest = graph.groupBy("src").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-1.0).alias("far"))
     back = best(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"), k)
     around = graph.select("src", "dst").unionByName(back.select("src", "dst")).distinct()
-    known = nodes.join(farthest, nodes["id"] == farthest["src"]).select(F.col("id").alias("dst"), "unit", "far")
-    rows = around.join(known, "dst").select("src", "dst", "far", "unit")
+    known = nodes.join(farthest, nodes["id"] == farthest["src"]).select(F.col("id").alias("dst"), "small", "far")
+    rows = around.join(known, "dst").select("src", "dst", "far", "small")
 
     def compare(batches):
         def group(ids, far, x):
@@ -118,7 +139,7 @@ def local_join(graph: DataFrame, nodes: DataFrame, dim: int, k: int, threshold:
 
         held = None
         for batch in batches:
-            part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(3), dim)]
+            part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _small(batch.column(3), dim)]
             if held:
                 part = [np.concatenate(p) for p in zip(held, part, strict=True)]
             starts = np.flatnonzero(np.r_[True, part[0][1:] != part[0][:-1]])
@@ -150,24 +171,51 @@ def brute(nodes: DataFrame, queries: list[tuple[int, bytes]], dim: int, threshol
     return nodes.select("id", "unit").mapInArrow(run, "src long, dst long")
 
 
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all that the links in near (rows with columns) connect, fewer than both."""
+    out: list[tuple[int, int]] = []
+    free = [np.ones(n, bool) for n in near.shape]
+    by = (near, near.T)
+    for first in range(len(near)):
+        if free[0][first]:
+            free[0][first] = False
+            todo = [(0, first)]
+            while todo:
+                side, i = todo.pop()
+                new = np.flatnonzero(by[side][i] & free[1 - side])
+                free[1 - side][new] = False
+                out += ((j, i) if side else (i, j) for j in new.tolist())
+                todo += ((1 - side, j) for j in new.tolist())
+    return out
+
+
 def in_components(members: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(src, n): of members (component, id, copies, unit), the copies of each one's links in its
-    component. A component is dealt into blocks; each pair of blocks is one task's row group."""
+    """Of members (component, id, copies, unit): rows (src, n), the copies of some of src's links
+    in its component, and rows (src, dst), links that connect all that are linked. A
+    component is dealt into blocks; each pair of blocks is one task's row."""
     size = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = members.join(size, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     packed = cut(dealt.groupBy("component", "blocks", "block").agg(F.collect_list(F.struct("id", "copies", "unit")).alias("m")))
-    left = packed.select("component", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    left = packed.select("component", "block", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
     pairs = left.join(packed.select("component", F.col("block").alias("other"), F.col("m").alias("with")), ["component", "other"])
 
     def run(batches):
         for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            src, dst, n = [], [], []
+            for lower, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, y = (np.frombuffer(b"".join(r["unit"] for r in m), "<f8").reshape(-1, dim) for m in (a, b))
                 ids, other = np.array([r["id"] for r in a]), np.array([r["id"] for r in b])
                 near = (x @ y.T >= threshold) & (ids[:, None] != other[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near @ np.array([r["copies"] for r in b], np.int64))], ["src", "n"])
+                src += ids.tolist()
+                dst += [None] * len(ids)
+                n += (near @ np.array([r["copies"] for r in b], np.int64)).tolist()
+                links = forest(near) if lower else []
+                src += (ids[i] for i, _ in links)
+                dst += (other[j] for _, j in links)
+                n += [0] * len(links)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(n, pa.int64())], ["src", "dst", "n"])
 
-    return pairs.select("m", "with").mapInArrow(run, "src long, n long").groupBy("src").agg(F.sum("n").alias("n"))
+    return pairs.select((F.col("block") <= F.col("other")).alias("lower"), "m", "with").mapInArrow(run, "src long, dst long, n long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, k: int = K, tables: int = TABLES, rounds: int = ROUNDS) -> DataFrame:
@@ -187,34 +235,32 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     dim, fits = common[0] // 8, F.coalesce(F.octet_length("unit") == common[0], F.lit(False))
     nodes = cut(rows.where(fits).groupBy("unit").agg(F.min("id").alias("least"), F.count("*").alias("copies")).repartition("unit").withColumn("id", F.monotonically_increasing_id()))
 
+    small = cut(small_vectors(nodes, dim))
     edges = graph = None
     for more in range(3):
-        pairs = cut(sorted_pairs(nodes, dim, tables, more, threshold))
-        edges = pairs if edges is None else edges.unionByName(pairs)
+        pairs = cut(sorted_pairs(small, dim, tables, more, threshold - SLACK))
+        edges = pairs if edges is None else edges.withColumn("sim", F.lit(1.0)).unionByName(pairs)
         graph = cut(best(pairs if graph is None else graph.unionByName(pairs), k))
         for _ in range(rounds):
-            found = cut(local_join(graph, nodes, dim, k, threshold))
+            found = cut(local_join(graph, small, dim, k, threshold - SLACK))
             edges = edges.unionByName(found)
             better = cut(best(graph.unionByName(found), k))
-            changed = better.join(graph, ["src", "dst"], "left_anti").count()
-            size, graph = better.count(), better
+            size, same = better.join(graph.select("src", "dst", F.lit(1).alias("had")), ["src", "dst"], "left").agg(F.count("*"), F.count("had")).first()
+            changed, graph = size - same, better
             if changed <= 0.01 * size:
                 break
-        edges = cut(edges.where(F.col("sim") >= threshold).select("src", "dst").distinct())
+        edges = cut(edges.where((F.col("sim") >= threshold - SLACK) & (F.col("src") < F.col("dst"))).select("src", "dst").distinct())
         queries = [(r[0], bytes(r[1])) for r in nodes.select("id", "unit").orderBy(F.xxhash64("id")).limit(AUDIT).collect()]
-        linked = edges.where("src < dst")
-        group = cut(components(linked, "src", "dst"))
+        group = cut(components(edges, "src", "dst"))
         truth = brute(nodes, queries, dim, threshold)
         of = lambda c: group.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
         seen, total = truth.join(of("src"), "src", "left").join(of("dst"), "dst", "left").agg(F.count(F.when(F.col("src_in") == F.col("dst_in"), 1)), F.count("*")).first()
         if total == 0 or seen >= ENOUGH * total:
             break
 
-    saturated = edges.groupBy("src").count().where(F.col("count") >= k).join(group, F.col("src") == F.col("node")).select("component").distinct()
-    dense = group.join(cut(saturated), "component").select(F.col("node").alias("id"), "component").join(nodes, "id").select("component", "id", "copies", "unit")
-    exact = cut(in_components(dense, dim, threshold))
-    sparse = edges.join(exact, "src", "left_anti").join(nodes.select(F.col("id").alias("dst"), "copies"), "dst").groupBy("src").agg(F.sum("copies").alias("n"))
-    links = sparse.unionByName(exact).withColumnRenamed("src", "id")
+    exact = cut(in_components(group.select(F.col("node").alias("id"), "component").join(nodes, "id").select("component", "id", "copies", "unit"), dim, threshold))
+    links = exact.where("dst is null").groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("n"))
+    group = components(exact.where("dst is not null"), "src", "dst")
     by_node = nodes.select("id", "least", "copies", "unit").join(group.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = by_node.groupBy("component").agg(F.min("least").alias("component_id"))
     final = cut(by_node.join(least, "component").select("unit", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
