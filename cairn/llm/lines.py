@@ -70,9 +70,9 @@ def without_units(docs: DataFrame, unit: str = "line", id_col: str = "doc_id", t
     ids and rows without repeats come back as they are, with an empty list."""
     gone = repeated_units(docs, unit, id_col, text_col, min_words).where(F.col(id_col).isNotNull())
     spans = gone.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    both = docs.join(spans, docs[id_col] == spans["_id"], "left")
-    joined = F.expr(f"concat_ws('', transform(sequence(0, size(_spans)), i -> substring(`{text_col}`, if(i = 0, 0L, _spans[i - 1].end) + 1, if(i = size(_spans), length(`{text_col}`), _spans[i].start) - if(i = 0, 0L, _spans[i - 1].end))))")
-    return both.withColumns({
-        text_col: F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(joined),
-        "removed_spans": F.coalesce(F.expr("transform(_spans, s -> concat(s.start, ':', s.end))"), F.array().cast("array<string>")),
-    }).drop("_id", "_spans")
+    rows = docs.drop("removed_spans").select(F.struct("*").alias("row"))  # so that no name clashes
+    both = rows.join(spans, F.col(f"row.{id_col}") == F.col("_id"), "left").withColumn("_t", F.col(f"row.{text_col}"))
+    joined = F.expr("concat_ws('', transform(sequence(0, size(_spans)), i -> substring(_t, int(if(i = 0, 0L, _spans[i - 1].end) + 1), int(if(i = size(_spans), length(_t), _spans[i].start) - if(i = 0, 0L, _spans[i - 1].end)))))")
+    text = F.when(F.col("_spans").isNull(), F.col("_t")).otherwise(joined)
+    places = F.coalesce(F.expr("transform(_spans, s -> concat(s.start, ':', s.end))"), F.array().cast("array<string>"))
+    return both.select(F.col("row").withField(text_col, text).alias("row"), places.alias("removed_spans")).select("row.*", "removed_spans")

@@ -70,7 +70,7 @@ def fit(samples: list[tuple[str, list[int], list[float]]], words: list[str], pri
         row[bag] = 1
         row[len(words) : -1] = shape
         row[-1] = 1
-    y = np.array([domains.index(d) for d in labels])
+    y = np.array([domains.index(d) for d in labels], np.int64)
     share = np.bincount(y, minlength=len(domains)) / max(1, len(y))
     offset = np.log(np.maximum(share, 1e-9))
     w = np.zeros((x.shape[1], len(domains)), np.float32)
@@ -201,5 +201,6 @@ def keep_rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | N
     """docs with a column rate, without documents whose rate is under least: those that the
     targets leave no use for. Rows of one id share a rate; rows without an id stay, at 1."""
     rated = mix(docs, labels, targets or TARGETS).groupBy(F.col("doc_id").alias("_id")).agg(F.min("rate").alias("rate"))
-    kept = docs.drop("rate")
-    return kept.join(rated, kept["doc_id"] == rated["_id"], "left").withColumn("rate", F.coalesce("rate", F.lit(1.0))).where(F.col("rate") >= least).drop("_id")
+    rows = docs.drop("rate").select(F.struct("*").alias("row"))  # so that no name clashes
+    both = rows.join(rated, F.col("row.doc_id") == F.col("_id"), "left")
+    return both.select("row.*", F.coalesce("rate", F.lit(1.0)).alias("rate")).where(F.col("rate") >= least)

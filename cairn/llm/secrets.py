@@ -29,6 +29,8 @@ UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = {"hex": DIGIT + "abcdef", "HEX": DIGIT + "ABCDEF", "base32": UPPER + "234567", "base64": UPPER + LOWER + DIGIT + "+/_-"}
 #: Of ordinary text: chance that two letters are equal, its standard deviation for one pair, and chance that the class of a character differs from the last one's.
 SAME, SAME_SD, CHANGE = 0.07, 0.26, 0.12
+#: The last one where upper and lower case and digits mix: there, ordinary text is a name of several words.
+CHANGE_MIXED = 0.35
 #: A randomness test rejects beyond so many standard deviations.
 REJECT = 3.5
 RATE = 0.01
@@ -96,7 +98,8 @@ def evidence(token: Column, code: Column) -> Column:
     parts = {"hex": (10, 6), "HEX": (10, 6), "base32": (26, 6), "base64": (26, 26, 10, 2)}
     rate = F.element_at(F.create_map(*[F.lit(x) for k, v in parts.items() for x in (k, 1 - sum((a / sum(v)) ** 2 for a in v))]), code)
     runs = (changes - (n - 1) * rate) / F.sqrt((n - 1) * rate * (1 - rate))
-    often = (changes - 0.5 - (n - 1) * CHANGE) / F.sqrt((n - 1) * CHANGE * (1 - CHANGE))
+    usual = F.when(code == "base64", CHANGE_MIXED).otherwise(CHANGE)
+    often = (changes - 0.5 - (n - 1) * usual) / F.sqrt((n - 1) * usual * (1 - usual))
 
     def lag(off: Column) -> Column:
         var = F.aggregate(off, F.lit(0.0), lambda s, x: s + x * x)
@@ -169,20 +172,20 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rat
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", rate: float = RATE) -> DataFrame:
     """docs with every secret in text_col replaced by mask (overlapping ones by one); null
     stays null, and texts without secrets stay as they are."""
-    kept = docs.columns
-    scanned = scan(docs.withColumn("_t", F.col(text_col)), "_t", tuple(kept))
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("_t"))  # so that no name clashes
+    scanned = scan(rows, "_t", ("row", "_t"))
     least = thresholds(cut(scanned.select("_tokens").where(F.size("_tokens") > 0)), rate)
     found = _with_random(scanned, least)
-    found = found.select(*kept, F.inline(F.array(F.struct("_spans"))))
+    found = found.select("row", "_t", F.inline(F.array(F.struct("_spans"))))
     pieces = F.aggregate(
         "_spans", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
         lambda s, x: F.struct(
             F.greatest(s["at"], x["end"]).alias("at"),
-            F.when((x["start"] < s["at"]) & (s["at"] > 0), s["out"]).otherwise(F.concat(s["out"], F.substring(F.col(text_col), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mask))).alias("out"),
+            F.when((x["start"] < s["at"]) & (s["at"] > 0), s["out"]).otherwise(F.concat(s["out"], F.substring(F.col("_t"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mask))).alias("out"),
         ),
     )
-    text = F.when(F.col(text_col).isNull() | (F.size("_spans") == 0), F.col(text_col)).otherwise(F.concat(pieces["out"], F.substring(F.col(text_col), (pieces["at"] + 1).cast("int"), F.length(text_col))))
-    return found.withColumn(text_col, text).select(*kept)
+    text = F.when(F.col("_t").isNull() | (F.size("_spans") == 0), F.col("_t")).otherwise(F.concat(pieces["out"], F.substring(F.col("_t"), (pieces["at"] + 1).cast("int"), F.length("_t"))))
+    return found.select(F.col("row").withField(text_col, text).alias("row")).select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
