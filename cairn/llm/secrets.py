@@ -5,7 +5,7 @@ TOKEN characters gets an inferred encoding, and three statistics of its characte
 that encoding's alphabet: chi-squared uniformity, runs of character classes, and serial
 correlation at lag 1. A token is a candidate if none of the three rejects randomness.
 Its evidence is how unlikely ordinary text of its length looks that uniform and changes
-class that often (Fisher's combination of the two). Over all tokens of one encoding and
+class that often: the larger of the two chances, squared. Over all tokens of one encoding and
 length class the Benjamini-Hochberg procedure keeps the false discoveries below RATE:
 short tokens, which text matches by chance more often, get a sharper threshold.
 """
@@ -110,8 +110,7 @@ def evidence(token: Column, code: Column) -> Column:
     centred = lambda xs: _let(F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / n, lambda mean: F.transform(xs, lambda x: x - mean))
     serial = _let(_let(place, centred), lag)
 
-    fisher = -(F.log(_below(like_text)) + F.log(_below(-often)))
-    found = _let(fisher, lambda x: (x - F.log1p(x)) / math.log(10))
+    found = -2 * F.log10(F.greatest(_below(like_text), _below(-often)))
     return F.when((F.abs(uniform) <= REJECT) & (F.abs(runs) <= REJECT) & (F.abs(serial) <= REJECT), F.greatest(found, F.lit(0.0))).otherwise(0.0)
 
 
