@@ -195,6 +195,7 @@ def in_components(members: DataFrame, dim: int, threshold: float) -> DataFrame:
     component is dealt into blocks; each pair of blocks is one task's row."""
     size = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = members.join(size, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.repartition("component", "blocks", "block")  # else a component stays whole where its size was joined
     packed = cut(dealt.groupBy("component", "blocks", "block").agg(F.collect_list(F.struct("id", "copies", "unit")).alias("m")))
     left = packed.select("component", "block", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
     pairs = left.join(packed.select("component", F.col("block").alias("other"), F.col("m").alias("with")), ["component", "other"])
