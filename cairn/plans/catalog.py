@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cairn.functions.codecs import BASE32, base32_of_hex, data_uri, percent_decode, percent_encode, xml_escape
 from cairn.functions.ordering import natural_key
 from cairn.functions.urn import PURE, equivalent, post_sector_path, sha1_part, sha1_urn, tiger_part
+from cairn.functions.values import RS_A, RS_B, append_path, boolean, delta_ms, from_cp437, repo_ref, rs_hash, strip_subject, thumbnail_name
 from cairn.operators import commits, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -360,3 +361,107 @@ def image_scaled_dims(spark, d):
 def album_prev_next(spark, d):
     order = Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")
     return read(spark, d, "part").select("p_partkey", F.lag("p_name").over(order).alias("prev"), F.lead("p_name").over(order).alias("next"))
+
+
+# Values, names and paths
+
+
+@query(f"WITH t AS ({TREE}), r AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Nowhere/' ELSE '' END || path AS path FROM t) SELECT r.c_custkey, replace(r.path, '/', '//') AS request, CAST(t.c_custkey AS VARCHAR) AS target, t.c_custkey IS NOT NULL AS found FROM r LEFT JOIN t ON t.path = r.path")
+def follow_path(spark, d):
+    """The entry at each requested path; runs of slashes count as one."""
+    tree = customer_tree(spark, d).select("path", F.col("c_custkey").cast("string").alias("target"))
+    asked = customer_tree(spark, d).select("c_custkey", F.replace(F.concat(F.when(F.col("c_custkey") % 3 == 0, "Nowhere/").otherwise(""), "path"), F.lit("/"), F.lit("//")).alias("request"))
+    return asked.withColumn("path", F.regexp_replace("request", "/+", "/")).join(tree, "path", "left").select("c_custkey", "request", "target", F.col("target").isNotNull().alias("found"))
+
+
+@query(f"WITH t AS ({TREE}) SELECT path, string_split(path, '/')[3] AS name FROM t")
+def tree_walk_blobs(spark, d):
+    return trees.with_directories(customer_tree(spark, d)).where("NOT is_dir").select("path", "name")
+
+
+@query("SELECT conv_id, max(turn) || '-' || role AS highest, CAST(max(turn) + 1 AS VARCHAR) AS next FROM (SELECT conv_id, turn, arg_max(role, turn) OVER (PARTITION BY conv_id) AS role FROM conversations) GROUP BY conv_id, role")
+def heads_next(spark, d):
+    """Of names that begin with digits the highest in natural order, and the key that follows it."""
+    names = read(spark, d, "conversations").select("conv_id", F.concat_ws("-", "turn", "role").alias("name"))
+    return names.groupBy("conv_id").agg(F.max_by("name", natural_key(F.col("name"))).alias("highest")).withColumn("next", (F.regexp_extract("highest", "^[0-9]+", 0).cast("long") + 1).cast("string"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'repo' || page_id WHEN 1 THEN 'repo' || page_id END AS repo_name, CASE WHEN page_id % 2 = 0 THEN 'heads/' ELSE '' END || 'tree/' || page_id AS sub_path FROM pages")
+def repo_ref_parse(spark, d):
+    start = F.when(F.col("page_id") % 2 == 0, "x-blob-head:").otherwise("x-blob-repo:")
+    uri = F.concat(start, F.when(F.col("page_id") % 4 < 2, F.concat(F.lit("//repo"), "page_id", F.lit("/"))).otherwise("/"), F.lit("tree/"), "page_id")
+    return read(spark, d, "pages").select("page_id", repo_ref(uri, False).alias("r")).select("page_id", "r.repo_name", "r.sub_path")
+
+
+@query("""SELECT page_id, regexp_extract(url, '^([a-z]+://[^/]*)', 1) || '/style/main.css' AS rooted, regexp_extract(url, '^([^?#]*/)', 1) || 'next.html' AS beside FROM pages""")
+def append_path_urls(spark, d):
+    url = F.col("url")
+    return read(spark, d, "pages").select("page_id", append_path(url, F.lit("/style/main.css")).alias("rooted"), append_path(url, F.lit("gone/./../next.html")).alias("beside"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS word, o_orderkey % 3 <> 0 AS number FROM orders")
+def bool_words(spark, d):
+    word = F.when(F.col("o_orderstatus") == "F", "Yes").when(F.col("o_orderstatus") == "O", "nein").otherwise("perhaps")
+    return read(spark, d, "orders").select("o_orderkey", boolean(word).alias("word"), boolean((F.col("o_orderkey") % 3).cast("string")).alias("number"))
+
+
+@query("SELECT o_orderkey, epoch_ms(o_orderdate) + (CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END) * (o_orderkey % 7) * (CASE o_orderkey % 5 WHEN 0 THEN 1000 WHEN 1 THEN 60000 WHEN 2 THEN 86400000 WHEN 3 THEN 604800000 END) AS at FROM orders WHERE o_orderkey % 5 <> 4")
+def time_delta(spark, d):
+    key = F.col("o_orderkey")
+    unit = F.when(key % 5 == 0, "").when(key % 5 == 1, "minutes").when(key % 5 == 2, "days").otherwise("weeks")
+    delta = F.concat(F.when(key % 2 == 0, "+").otherwise("-"), (key % 7).cast("string"), unit)
+    return read(spark, d, "orders").where(key % 5 != 4).select("o_orderkey", (F.unix_millis(F.col("o_orderdate").cast("timestamp")) + delta_ms(delta)).alias("at"))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS size FROM documents")
+def size_of(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"))
+
+
+@query("""SELECT p_partkey, p_name || CASE WHEN p_partkey % 2 = 0 THEN '.jpg' ELSE '' END AS name, 0 AS size FROM part UNION ALL
+SELECT p_partkey, p_name || '-' || s.d || CASE WHEN p_partkey % 2 = 0 THEN '.jpg' ELSE '' END, s.w FROM part, (VALUES ('128x128', 128), ('640x480', 640)) s(d, w)""")
+def thumbnail_entries(spark, d):
+    """Each image's entry and those of its two thumbnails."""
+    part = read(spark, d, "part").select("p_partkey", F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, ".jpg").otherwise("")).alias("n"))
+    entry = lambda name, size: F.struct(name.alias("name"), F.lit(size).alias("size"))
+    each = F.array(entry(F.col("n"), 0), entry(thumbnail_name(F.col("n"), 128, 128), 128), entry(thumbnail_name(F.col("n"), 640, 480), 640))
+    return part.select("p_partkey", F.inline(each))
+
+
+def rs_powers(n: int) -> str:
+    """Literals of RS hash's multiplier at each byte."""
+    out, a = [], RS_A
+    for _ in range(n):
+        out.append(f"CAST({a} AS HUGEINT)")
+        a = a * RS_B % (1 << 32)
+    return ", ".join(out)
+
+
+@query(f"""WITH k AS (SELECT p_partkey, list_transform(range(1, length(p_name) + 1), lambda i: {{'c': CAST(ascii(substr(p_name, i, 1)) AS HUGEINT), 'a': [{rs_powers(64)}][i]}}) AS x FROM part),
+h AS (SELECT p_partkey, list_reduce(list_prepend({{'c': CAST(0 AS HUGEINT), 'a': CAST(0 AS HUGEINT)}}, x), lambda p, q: {{'c': (p.c * q.a + q.c) % 4294967296, 'a': q.a}}).c % 2147483648 AS h FROM k)
+SELECT p_partkey, CAST(h AS BIGINT) AS hash, CAST(h % 65536 AS BIGINT) AS bucket FROM h""")
+def rs_hash_buckets(spark, d):
+    return read(spark, d, "part").select("p_partkey", rs_hash(F.col("p_name")).alias("hash")).withColumn("bucket", F.col("hash") % 65536)
+
+
+@query("SELECT page_id, i - 1 AS pos, links[i] AS link FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?:src|href|resource)=\"([^\"]*)\"', 1) AS links FROM pages))")
+def html_links(spark, d):
+    found = F.regexp_extract_all("html", F.lit('(?:src|href|resource)="([^"]*)"'), F.lit(1))
+    return read(spark, d, "pages").select("page_id", F.posexplode(found).alias("pos", "link")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS k1, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS json FROM events")
+def json_encode_props(spark, d):
+    parsed = F.from_json("props", "k long")
+    return read(spark, d, "events").select("event_id", (parsed["k"] + 1).alias("k1"), F.to_json(parsed).alias("json"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN sha1(text) WHEN 1 THEN sha1(text) END AS target FROM documents")
+def rdf_subject_target(spark, d):
+    start = F.when(F.col("doc_id") % 3 == 0, "x-rdf-subject:").when(F.col("doc_id") % 3 == 1, "x-parse-rdf:").otherwise("")
+    return read(spark, d, "documents").select("doc_id", strip_subject(F.concat(start, F.sha1(F.col("text").cast("binary")))).alias("target"))
+
+
+@query("SELECT p_partkey, p_name || 'é' AS text FROM part")
+def cp437_text(spark, d):
+    return read(spark, d, "part").select("p_partkey", from_cp437(F.concat(F.col("p_name").cast("binary"), F.unhex(F.lit("82")))).alias("text"))

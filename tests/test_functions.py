@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cairn.functions.codecs import percent_decode, percent_encode
 from cairn.functions.ordering import natural_key
 from cairn.functions.urn import equivalent, sha1_urn
+from cairn.functions.values import append_path, boolean, delta_ms, from_cp437, repo_ref, rs_hash, strip_subject, thumbnail_name
 from cairn.operators import commits, trees
 
 
@@ -68,3 +69,44 @@ def test_commit_graph(spark):
         assert {r[0] for r in commits.filter_ancestors(edges, heads, depth).collect()} == left
     some = heads.where("node not in (3, 5)")
     assert {r[0] for r in commits.filter_ancestors(edges, some, 1).collect()} == {1, 6}
+
+
+@pytest.mark.parametrize(("base", "path", "drop", "joined"), [
+    ("foo/", "bar/", True, "foo/bar/"), ("foo/", "/bar", True, "/bar"), ("foo/", "E:/junk", True, "E:/junk"), ("foo/baz/", "../bar", True, "foo/bar"),
+    ("http://www.example.net/music/", "../style/", True, "http://www.example.net/style/"), ("http://www.example.net/music/whatever", "/", True, "http://www.example.net/"),
+    ("foo", "bar/", False, "foo/bar/"), ("foo", "bar", True, "bar"), ("a/b/c/", "../../d", True, "a/d"), ("http://h/a?q=/x#y", "b", True, "http://h/b"), ("a/", "../../b", True, "a/b"),
+])
+def test_append_path(spark, base, path, drop, joined):
+    assert one(spark, append_path(F.lit(base), F.lit(path), drop)) == joined
+
+
+@pytest.mark.parametrize(("uri", "head", "expected"), [
+    ("x-any-repo://xyz/123/aba", False, ("xyz", "123/aba")), ("x-any-head://xyz/123/aba", False, ("xyz", "heads/123/aba")), ("//xyz/123/aba", True, ("xyz", "heads/123/aba")),
+    ("x-any-repo://xyz/1", True, ("xyz", "1")), ("123/aba", True, (None, "heads/123/aba")), ("/123/aba", False, (None, "123/aba")), ("//xyz", False, ("xyz", "")),
+])
+def test_repo_ref(spark, uri, head, expected):
+    assert tuple(one(spark, repo_ref(F.lit(uri), head))) == expected
+
+
+@pytest.mark.parametrize(("text", "truth"), [("YES", True), ("nein", False), ("0", False), ("-2.5", True), ("1e3", True), ("perhaps", None), ("", None)])
+def test_boolean(spark, text, truth):
+    assert one(spark, boolean(F.lit(text))) is truth
+
+
+@pytest.mark.parametrize(("text", "ms"), [("+3days", 259_200_000), ("-2", -2000), ("+1years", 31_556_952_000), ("-1months", -2_628_002_880), ("3days", None), ("+1fortnights", None)])
+def test_delta(spark, text, ms):
+    assert one(spark, delta_ms(F.lit(text))) == ms
+
+
+@pytest.mark.parametrize("key", [b"", b"a", b"index key", bytes(range(256))])
+def test_rs_hash(spark, key):
+    h, a = 0, 63689
+    for c in key:
+        h, a = h * a + (c - 256 if c > 127 else c), a * 378551
+    assert one(spark, rs_hash(F.lit(key))) == h & 0x7FFFFFFF
+
+
+def test_names(spark):
+    assert [one(spark, thumbnail_name(F.lit(n), 128, 96)) for n in ("a.b.jpg", "a", ".x")] == ["a.b-128x96.jpg", "a-128x96", "-128x96.x"]
+    assert [one(spark, strip_subject(F.lit(u))) for u in ("x-parse-rdf:a:b", "x-rdf-subject:a", "a")] == ["a:b", "a", None]
+    assert one(spark, from_cp437(F.lit(bytes(range(256))))) == bytes(range(256)).decode("cp437")
