@@ -40,3 +40,32 @@ def xml_escape(text: Column) -> Column:
     for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(char), F.lit(name))
     return text
+
+
+def percent_encode_bytes(data: Column) -> Column:
+    """Every byte as %XX."""
+    return F.regexp_replace(F.hex(data), "(..)", "%$1")
+
+
+def parse_data_uri(uri: Column) -> Column:
+    """struct(format, content): of `data:[part;...],payload` the last part that is not base64, null
+    if there is none, and the payload's bytes. Null for other URIs."""
+    head = F.regexp_extract(uri, "^data:([^,]*),", 1)
+    payload = F.regexp_replace(uri, "^data:[^,]*,", "")
+    kinds = F.filter(F.split(head, ";"), lambda p: ~p.isin("", "base64"))
+    is_base64 = F.array_contains(F.split(head, ";"), "base64")
+    content = F.when(is_base64, F.unbase64(payload)).otherwise(percent_decode(F.when(~is_base64, payload)).cast("binary"))
+    return F.when(uri.rlike("^data:[^,]*,"), F.struct(F.get(F.reverse(kinds), F.lit(0)).alias("format"), content.alias("content")))
+
+
+def cache_record(size: Column, mtime_ms: Column, digest: Column) -> Column:
+    """Record of a hash cache: size and time, 8 bytes each with the high byte first, then the hash."""
+    number = lambda x: F.unhex(F.lpad(F.hex(x.cast("long")), 16, "0"))
+    return F.concat(number(size), number(mtime_ms), digest.cast("binary"))
+
+
+def parse_cache_record(record: Column) -> Column:
+    """struct(size, mtime_ms, digest); numbers under 2^63. Null for fewer than 16 bytes."""
+    number = lambda at: F.conv(F.hex(F.substring(record, at, 8)), 16, 10).cast("long")
+    whole = F.octet_length(record) >= 16
+    return F.when(whole, F.struct(number(1).alias("size"), number(9).alias("mtime_ms"), F.substring(record, 17, 1 << 30).alias("digest")))

@@ -84,3 +84,18 @@ def from_cp437(data: Column) -> Column:
     """Text of code page 437 bytes; control characters stay."""
     high = bytes(range(128, 256))
     return F.translate(F.decode(data, "ISO-8859-1"), high.decode("latin-1"), high.decode("cp437"))
+
+
+def option_true(text: Column, default: bool = False) -> Column:
+    """An option's truth: default for null; false for an empty text, 0 and false; else true."""
+    return F.when(text.isNull(), default).otherwise(~text.isin("", "0", "false"))
+
+
+def caption(text: Column, most: int = 75) -> Column:
+    """text, or where it is longer than most, dots and its end."""
+    return F.when(F.length(text) > most, F.concat(F.lit("..."), F.right(text, F.lit(most - 2)))).otherwise(text)  # fixed values
+
+
+def up_to_root(path: Column) -> Column:
+    """The relative path from a page to the root: ../ for each slash."""
+    return F.repeat(F.lit("../"), F.length(path) - F.length(F.replace(path, F.lit("/"))))

@@ -66,3 +66,42 @@ def ignored(path: Column, rules: list[str]) -> Column:
         if rule.strip() and not rule.startswith("#"):
             out = F.when(path.rlike(glob_regex(rule.removeprefix("!"))), not rule.startswith("!")).otherwise(out)
     return out
+
+
+def merge_directories(old: DataFrame, new: DataFrame, method: str) -> DataFrame:
+    """(path, urn) of new's files and directories merged into old's root. method: Replace or
+    Ignore, for directories of the root that both have: the new or the old one is taken whole.
+    Files are taken alike."""
+    first, other = {"Replace": (new, old), "Ignore": (old, new)}[method]
+    top = F.substring_index("path", "/", 1)
+    taken = first.select(top.alias("top")).distinct()
+    rest = other.withColumn("top", top).join(taken, "top", "left_anti")
+    return first.select("path", "urn").unionByName(rest.select("path", "urn"))
+
+
+def changeset_lines(changes: DataFrame) -> DataFrame:
+    """(top, dump): the changes of each directory of the root as lines `op path`, by path, deletions first."""
+    line = F.struct("path", F.when(F.col("op") == "D", 0).otherwise(1).alias("seq"), F.concat_ws(" ", "op", "path").alias("line"))
+    lines = changes.groupBy(F.substring_index("path", "/", 1).alias("top")).agg(F.array_sort(F.collect_list(line)).alias("l"))
+    return lines.select("top", F.array_join(F.col("l.line"), "\n").alias("dump"))
+
+
+def longest_prefix(asked: DataFrame, heads: DataFrame) -> DataFrame:
+    """asked's rows with head and rest: of the paths in heads (head) the longest that asked.path is
+    or lies under, and what follows it; rows under none are left out. One join on each prefix."""
+    parts = F.split("path", "/")
+    prefixes = asked.withColumn("head", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
+    found = prefixes.join(heads.select("head").distinct(), "head").groupBy(*asked.columns).agg(F.max_by("head", F.length("head")).alias("head"))
+    return found.withColumn("rest", F.substring(F.col("path"), F.length("head") + F.lit(2), F.length("path")))
+
+
+def preorder_key(path: Column, is_dir: Column, key) -> Column:
+    """Sorts entries as a walk visits them: a directory before what it holds, directories before
+    files, each by key of its name."""
+    parts = F.split(path, "/")
+    return F.transform(parts, lambda p, i: F.concat(F.when((i < F.size(parts) - 1) | is_dir, "0").otherwise("1"), key(p)))
+
+
+def pick(entries: DataFrame, seed: str, by: str) -> DataFrame:
+    """(by, path): of each group one path, chosen alike by the same seed."""
+    return entries.groupBy(by).agg(F.min_by("path", F.struct(F.sha1(F.concat(F.lit(seed + ":"), "path").cast("binary")), "path")).alias("path"))

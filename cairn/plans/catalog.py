@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.codecs import BASE32, base32_of_hex, data_uri, percent_decode, percent_encode, xml_escape
+from cairn.functions.codecs import BASE32, base32_of_hex, cache_record, data_uri, parse_cache_record, parse_data_uri, percent_decode, percent_encode, percent_encode_bytes, xml_escape
 from cairn.functions.ordering import natural_key
+from cairn.functions.tiger import bitprint_urn, tiger_urn
 from cairn.functions.urn import PURE, equivalent, post_sector_path, sha1_part, sha1_urn, tiger_part
-from cairn.functions.values import RS_A, RS_B, append_path, boolean, delta_ms, from_cp437, repo_ref, rs_hash, strip_subject, thumbnail_name
+from cairn.functions.values import RS_A, RS_B, append_path, boolean, caption, delta_ms, from_cp437, option_true, repo_ref, rs_hash, strip_subject, thumbnail_name, up_to_root
 from cairn.operators import commits, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -465,3 +466,132 @@ def rdf_subject_target(spark, d):
 @query("SELECT p_partkey, p_name || 'é' AS text FROM part")
 def cp437_text(spark, d):
     return read(spark, d, "part").select("p_partkey", from_cp437(F.concat(F.col("p_name").cast("binary"), F.unhex(F.lit("82")))).alias("text"))
+
+
+# More of stores, trees and values
+
+
+@query(None)
+def tiger_tree_urn(spark, d):
+    """SQL has no Tiger; its digests are held against known ones in the tests."""
+    return read(spark, d, "documents").select("doc_id", tiger_urn(F.col("text")).alias("urn"))
+
+
+@query(None)
+def bitprint(spark, d):
+    return read(spark, d, "documents").select("doc_id", bitprint_urn(F.col("text")).alias("urn"))
+
+
+@query("SELECT o_orderkey, lpad(hex(o_orderkey), 16, '0') || lpad(hex(epoch_ms(o_orderdate)), 16, '0') || upper(sha1(o_orderpriority)) AS record, o_orderkey AS size, epoch_ms(o_orderdate) AS mtime_ms, sha1(o_orderpriority) AS digest FROM orders")
+def hash_cache_records(spark, d):
+    made = cache_record(F.col("o_orderkey"), F.unix_millis(F.col("o_orderdate").cast("timestamp")), F.unhex(F.sha1(F.col("o_orderpriority").cast("binary"))))
+    rows = read(spark, d, "orders").select("o_orderkey", made.alias("r")).withColumn("p", parse_cache_record(F.col("r")))
+    return rows.select("o_orderkey", F.hex("r").alias("record"), "p.size", "p.mtime_ms", F.lower(F.hex("p.digest")).alias("digest"))
+
+
+@query("SELECT p_partkey, regexp_replace(hex(encode(p_name)), '(..)', '%\\1', 'g') AS encoded FROM part")
+def percent_bytes(spark, d):
+    return read(spark, d, "part").select("p_partkey", percent_encode_bytes(F.col("p_name").cast("binary")).alias("encoded"))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'text/plain' END AS format, text AS content FROM benchmark")
+def data_uri_source(spark, d):
+    coded = F.concat(F.lit("data:text/plain;base64,"), F.base64(F.col("text").cast("binary")))
+    rows = read(spark, d, "benchmark").select("item_id", parse_data_uri(F.when(F.col("item_id") % 2 == 0, coded).otherwise(data_uri(F.col("text")))).alias("p"))
+    return rows.select("item_id", "p.format", F.col("p.content").cast("string").alias("content"))
+
+
+@query(f"{BOTH}, c AS (SELECT path, 'D' AS op, 0 AS seq FROM b WHERE o IS NOT NULL AND o IS DISTINCT FROM n UNION ALL SELECT path, 'A', 1 FROM b WHERE n IS NOT NULL AND o IS DISTINCT FROM n) SELECT string_split(path, '/')[1] AS top, string_agg(op || ' ' || path, chr(10) ORDER BY path, seq) AS dump FROM c GROUP BY 1")
+def changeset_dump(spark, d):
+    return trees.changeset_lines(trees.diff(*snapshots(spark, d)))
+
+
+for _method, _first, _other in (("Replace", "n", "o"), ("Ignore", "o", "n")):
+
+    def _merge_directories(spark, d, method=_method):
+        return trees.merge_directories(*snapshots(spark, d), method)
+
+    QUERIES[f"directory_merge_{_method.lower()}"] = _merge_directories
+    ORACLES[f"directory_merge_{_method.lower()}"] = f"WITH o AS ({OLD}), n AS ({NEW}) SELECT path, urn FROM {_first} UNION ALL SELECT path, urn FROM {_other} WHERE string_split(path, '/')[1] NOT IN (SELECT string_split(path, '/')[1] FROM {_first})"
+
+
+@query(f"WITH t AS ({TREE}), h AS (SELECT r_name AS head FROM region UNION ALL SELECT r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0) SELECT path, head, substr(path, length(head) + 2) AS rest FROM t JOIN h ON starts_with(path, head || '/') QUALIFY row_number() OVER (PARTITION BY path ORDER BY length(head) DESC) = 1")
+def parsed_heads_path(spark, d):
+    """The longest known head above each path, and the path that remains."""
+    nation = read(spark, d, "nation").where("n_nationkey % 2 = 0").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    heads = read(spark, d, "region").select(F.col("r_name").alias("head")).unionByName(nation.select(F.concat_ws("/", "r_name", "n_name").alias("head")))
+    return trees.longest_prefix(customer_tree(spark, d).select("path"), heads)
+
+
+@query(f"""WITH t AS ({TREE}), e AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:n], '/') AS path, string_split(path, '/')[1] AS a, CASE WHEN n > 1 THEN string_split(path, '/')[2] ELSE '' END AS b, CASE WHEN n > 2 THEN string_split(path, '/')[3] ELSE '' END AS c FROM t, (VALUES (1), (2), (3)) v(n))
+SELECT path, row_number() OVER (PARTITION BY a ORDER BY {natural('b')}, {natural('c')}) AS place FROM e""")
+def tree_walk_preorder(spark, d):
+    """Each entry's place in the walk of its directory of the root."""
+    order = Window.partitionBy(F.substring_index("path", "/", 1)).orderBy(trees.preorder_key(F.col("path"), F.col("is_dir"), natural_key))
+    return trees.with_directories(customer_tree(spark, d)).select("path", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query(f"WITH t AS ({TREE}) SELECT string_split(path, '/')[1] AS top, arg_min(path, sha1('7:' || path)) AS path FROM t GROUP BY 1")
+def random_file(spark, d):
+    return trees.pick(customer_tree(spark, d).withColumn("top", F.substring_index("path", "/", 1)), "7", "top")
+
+
+@query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def key_value_latest(spark, d):
+    """Of each key the value that was put last."""
+    last = F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id"))
+    return read(spark, d, "events").groupBy("user_id", "event_type").agg(last.alias("x")).select("user_id", "event_type", "x.*")
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def trees_to_store(spark, d):
+    """Trees that are not marked as fully stored."""
+    marked = read(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
+    return read(spark, d, "orders").select("o_custkey").distinct().join(marked, "o_custkey", "left_anti")
+
+
+@query("SELECT conv_id, turn, role AS author, sha1(text) AS target, concat_ws(',', CASE WHEN turn > 0 THEN conv_id || '-' || (turn - 1) END, CASE WHEN turn > 1 THEN conv_id || '-' || (turn - 2) END) AS parents, CAST(least(turn, 2) AS BIGINT) AS n_parents FROM conversations")
+def create_commit(spark, d):
+    """Commits with their parents, those that are null left out."""
+    parent = lambda back: F.when(F.col("turn") >= back, F.concat_ws("-", "conv_id", F.col("turn") - back))
+    rows = read(spark, d, "conversations").withColumn("p", F.array_compact(F.array(parent(1), parent(2))))
+    return rows.select("conv_id", "turn", F.col("role").alias("author"), F.sha1(F.col("text").cast("binary")).alias("target"), F.array_join("p", ",").alias("parents"), F.size("p").cast("long").alias("n_parents"))
+
+
+@query("SELECT l_orderkey, string_agg(DISTINCT l_returnflag || l_linestatus, ' ' ORDER BY l_returnflag || l_linestatus) AS flags FROM lineitem GROUP BY 1")
+def multimap_values(spark, d):
+    return read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), " ").alias("flags"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN true WHEN 4 THEN true WHEN 5 THEN true ELSE false END AS on_by_default FROM orders")
+def option_truth(spark, d):
+    value = F.element_at(F.array(F.lit(None), *map(F.lit, ("false", "0", "", "yes", "x"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return read(spark, d, "orders").select("o_orderkey", option_true(value, True).alias("on_by_default"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 75 THEN '...' || right(text, 73) ELSE text END AS caption FROM documents")
+def captions(spark, d):
+    return read(spark, d, "documents").select("doc_id", caption(F.col("text")).alias("caption"))
+
+
+@query("SELECT page_id, repeat('../', CAST(length(p) - length(replace(p, '/', '')) AS BIGINT)) AS up FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/', '') AS p FROM pages)")
+def relative_to_root(spark, d):
+    return read(spark, d, "pages").select("page_id", up_to_root(F.regexp_replace("url", "^[a-z]+://[^/]*/", "")).alias("up"))
+
+
+@query("SELECT p_partkey, p_partkey % 4 IN (1, 2) AS is_image FROM part")
+def image_names(spark, d):
+    name = F.concat("p_name", F.element_at(F.array(*map(F.lit, (".txt", ".JPG", ".png", "jpg"))), (F.col("p_partkey") % 4 + 1).cast("int")))
+    return read(spark, d, "part").select("p_partkey", name.rlike(r"(?i)^.*?\.(?:jpe?g|gif|png|bmp)$").alias("is_image"))
+
+
+@query("SELECT doc_id, count(*) AS entries, min(x) AS first FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS x FROM documents) WHERE x <> '' AND x NOT LIKE '#%' GROUP BY doc_id")
+def uri_list_entries(spark, d):
+    """Entries of lists, one a line, without blank lines and comments."""
+    lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x")).withColumn("x", F.trim("x"))
+    return lines.where("x <> '' AND NOT startswith(x, '#')").groupBy("doc_id").agg(F.count("*").alias("entries"), F.min("x").alias("first"))
+
+
+@query("SELECT event_id, concat_ws(' ', event_type, user_id, event_id) AS line FROM events")
+def event_log_lines(spark, d):
+    return read(spark, d, "events").select("event_id", F.concat_ws(" ", "event_type", "user_id", "event_id").alias("line"))
