@@ -19,6 +19,10 @@ WINDOW = 64
 #: Labelled rows that the network is fitted on, at most; one window of each.
 SAMPLE_ROWS = 8000
 HIDDEN = 8
+#: The class of text in no language, learned from corrupted windows, and the probability of it from which on a text is rejected.
+JUNK, REJECT = "\0", 0.9
+#: With fewer labelled windows than this, rejection is not learned.
+LEAST_ROWS = 50
 _B = np.arange(256)
 _LOWER = np.where((_B >= 65) & (_B <= 90), _B + 32, _B).astype(np.uint8)
 _LETTER = ((_B >= 97) & (_B <= 122) | (_B >= 128)).astype(np.float32)
@@ -151,14 +155,49 @@ def predict_batch(model: dict, texts: list[bytes], at_once: int = 4096) -> np.nd
     return out / np.maximum(out.sum(1, keepdims=True), 1e-9)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> dict | None:
+def corrupted(texts: list[bytes], seed: int = 0) -> list[bytes]:
+    """Of each text, one that is in no language, by turns: its characters in random order, random
+    letters, letters put for others by a random cipher, signs with a few letters, random letters of other scripts."""
+    rng = np.random.default_rng(seed)
+    letters, signs = "abcdefghijklmnopqrstuvwxyz", list("#$%&*+-/<=>@^_|~!?.,;:0123456789 ")
+    scripts = [(0x391, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0x3041, 0x3093), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
+    out = []
+    for i, text in enumerate(texts):
+        t = text.decode("utf-8", "ignore").lower() or "x"
+        n = len(t)
+        if i % 6 == 0:
+            t = "".join(rng.permutation(list(t)))
+        elif i % 6 == 1:
+            t = "".join(rng.choice(list(letters), n))
+            gaps = set(np.cumsum(rng.integers(3, 14, n)).tolist()) if i % 2 else set()
+            t = "".join(" " if k in gaps else c for k, c in enumerate(t))
+        elif i % 6 == 2:
+            other = sorted(set(c for c in t if c.isalpha()) | set(letters))
+            t = t.translate(str.maketrans("".join(other), "".join(rng.permutation(other))))
+        elif i % 6 in (3, 4):
+            at = set(rng.choice(n, min(n, int(rng.integers(1, 13))), replace=False).tolist())
+            size = int(rng.integers(1, 6))  # of a run of one sign
+            t = "".join(rng.choice(list(letters)) if k in at else c for k, c in enumerate("".join(rng.choice(signs) * size for _ in range(n))[:n]))
+        else:
+            lo, hi = scripts[int(rng.integers(len(scripts)))]
+            t = "".join(" " if x < 0.12 else chr(c) for x, c in zip(rng.random(n), rng.integers(lo, hi + 1, n), strict=True))
+        out.append(t.encode()[:WINDOW])
+    return out
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, reject: bool = False) -> dict | None:
     """The network fitted on the labelled documents whose crc32(id) mod 4 is not 2: one
-    window, at a place that the id decides, of `rows` of them at most, by the id's hash."""
+    window, at a place that the id decides, of `rows` of them at most, by the id's hash.
+    reject: the class JUNK is learned besides, from corrupted windows, as many."""
     at = F.pmod(F.xxhash64(F.lit("at"), id_col), F.greatest(F.length(text_col) - WINDOW, F.lit(1)))
     labelled = docs.where(crc_mod(id_col, 4) != 2).where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     pick = labelled.select(F.col(lang_col).cast("string"), F.substring(text_col, at.cast("int") + 1, F.lit(WINDOW)).cast("binary"), F.xxhash64(id_col).alias("h"))
     got = sorted((r[0], bytes(r[1]), r[2]) for r in pick.orderBy("h").limit(rows).collect())
-    return fit([t for _, t, _ in got], [x for x, _, _ in got]) if got else None
+    texts, langs = [t for _, t, _ in got], [x for x, _, _ in got]
+    if reject and len(got) >= LEAST_ROWS:
+        # as many passes as fit() makes over 8,000 rows, so that a small sample learns too
+        return fit(texts + corrupted(texts), langs + [JUNK] * len(texts), epochs=max(6, min(60, 24_000 // len(texts))))
+    return fit(texts, langs) if got else None
 
 
 def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,17 +231,21 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text", model: dict | None = None) -> DataFrame:
-    """docs, all columns as they came, without rows that have no language: null texts and texts
-    without a letter. model: by default fitted on docs."""
+    """docs, all columns as they came, without rows that have no language: null texts, texts
+    without a letter, and texts that the network gives a probability of REJECT or more to be
+    junk, in none of the languages it learned. model: by default fitted on docs, with the
+    class JUNK; one without it (a table with few labelled rows) rejects no letters."""
     at = docs.columns.index(text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(model or train(docs, text_col=text_col))
+    sent = docs.sparkSession.sparkContext.broadcast(model or train(docs, text_col=text_col, reject=True))
 
     def run(batches):
         model = sent.value
+        junk = model["langs"].index(JUNK) if model and JUNK in model["langs"] else None
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            letters = np.array([bool(t) and any(c.isalpha() for c in t) for t in texts], bool)
-            prob = predict_batch(model, [(t or "").encode("utf-8", "surrogatepass") for t in texts]) if model else np.ones((len(texts), 1))
-            yield batch.filter(pa.array(letters & (prob.max(1) > 0)))
+            keep = np.array([bool(t) and any(c.isalpha() for c in t) for t in texts], bool)
+            if junk is not None:
+                keep &= predict_batch(model, [(t or "").encode("utf-8", "surrogatepass") for t in texts])[:, junk] < REJECT
+            yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
