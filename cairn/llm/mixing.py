@@ -8,8 +8,10 @@ tokens of each domain, sum of rate * tokens * posterior, and its target.
 
 from __future__ import annotations
 
+import logging
 import re
-from collections import Counter
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import cut
 
+LOG = logging.getLogger(__name__)
+
 #: Labelled rows of each domain that the classifier is fitted on, at most.
 SAMPLE_ROWS = 2000
 #: Words that a document is classified by, at most: those that tell domains apart best.
@@ -127,52 +131,102 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], rows: int = SA
     return fit([(r[1], r[2], r[3]) for r in sorted(rows, key=lambda r: (r[0], r[1], r[3]))], words, prior)
 
 
-def memberships(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, n_tokens, p): p[i], the posterior of the model's i-th domain."""
+def memberships(docs: DataFrame, model: dict, key: Column | None = None) -> DataFrame:
+    """(doc_id, n_tokens, p): p[i], the posterior of the model's i-th domain; _text: key, if given, a long."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "n_tokens", "p"] + ["_text"] * (key is not None)
 
     def run(batches):
         model = sent.value
         for batch in batches:
             got = [features(t) for t in batch.column(1).to_pylist()]
             p = [posterior(model, bag, shape) for _, bag, shape in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, *_ in got], pa.int64()), pa.array(p, pa.list_(pa.float64()))], ["doc_id", "n_tokens", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, *_ in got], pa.int64()), pa.array(p, pa.list_(pa.float64())), *batch.columns[2:]], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([] if key is None else [key.alias("_text")]))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, p array<double>" + (", _text long" if key is not None else ""))
 
 
-def _rate(steps: list[np.ndarray]) -> Column:
-    """Every document starts at 1, and each step moves it and projects it on what is not negative."""
+def _rate(steps: list[np.ndarray], least: float = 0.0) -> Column:
+    """Every document starts at 1, and each step moves it and projects it on what is not under least."""
     if not steps:
         return F.lit(1.0)
-    one = lambda r, g: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(g, F.col("p"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+    one = lambda r, g: F.greatest(F.lit(float(least)), r - F.aggregate(F.zip_with(g, F.col("p"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
     return F.aggregate(F.array(*[F.array(*map(F.lit, map(float, g))) for g in steps]), F.lit(1.0), one)
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, most_steps: int = 40, tolerance: float = 1e-3) -> tuple[DataFrame, dict[str, float]]:
-    """(members with rate, expected tokens by domain). targets: weights of the domains, scaled
-    to sum to 1; total: tokens to reach, by default as many as there are."""
+def solve_rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, most_steps: int = 100, tolerance: float = 1e-3, least: float = 0.0) -> tuple[DataFrame, dict]:
+    """(members with rate, report): rates of at least `least`, by projected gradient.
+
+    Each step is the gradient of the squared errors, scaled by the inverse of the damped
+    matrix of second derivatives over the documents above their bound. A step after which the
+    objective is larger is taken back and damped more. Ends where every domain is within
+    tolerance * total of its goal (met), or where, with the targets out of reach, a plain
+    projected gradient step would move less than tolerance / 10 of the tokens (stationary);
+    else after most_steps passes.
+
+    report: reached and goal by domain, residual (the largest error as a share of total), met,
+    stationary, steps.
+    """
     n = len(domains)
-    p = [F.element_at("p", i + 1) for i in range(n)]
-    t = F.col("n_tokens").cast("double")
-    first = members.agg(F.sum(t), *[F.sum(t * x * x) for x in p]).first()
-    if not first[0]:
-        return members.withColumn("rate", F.lit(1.0)), dict.fromkeys(domains, 0.0)
-    total = float(total if total is not None else first[0])
+    docs = members.select(F.col("n_tokens").cast("double").alias("t"), "p")
+
+    def measure(steps: list[np.ndarray], plain: np.ndarray):
+        """Tokens; expected ones by domain, after all steps; sums of t * p * p over the documents
+        that are then free; tokens that the step plain, put for the last, moves."""
+
+        def run(batches):
+            got = np.zeros(2 + n + n * n)
+            for batch in batches:
+                t, p = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                r = before = np.ones(len(t))
+                for g in steps:
+                    before, r = r, np.maximum(least, r - p @ g)
+                free = np.where(r > least, t, 0.0)
+                moved = t @ np.abs(np.maximum(least, before - p @ plain) - before)
+                got += np.concatenate([[t.sum(), moved], (r * t) @ p, ((p * free[:, None]).T @ p).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([got.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+        got = np.sum([np.zeros(2 + n + n * n), *(np.array(r[0]) for r in docs.mapInArrow(run, "sums array<double>").collect())], 0)
+        return got[0], got[1], got[2 : 2 + n], got[2 + n :].reshape(n, n)
+
+    tokens, _, reached, h = measure([], np.zeros(n))
     goal = np.array([targets[d] for d in domains], float)
+    total = float(total if total is not None else tokens)
     goal = goal / goal.sum() * total
-    curve = np.maximum(np.array(first[1:], float), 1e-9 * first[0])  # of each domain's squared error
     steps: list[np.ndarray] = []
-    last = np.inf
-    while True:
-        rate = _rate(steps)
-        reached = np.array(members.select(rate.alias("r"), t.alias("t"), *[x.alias(f"p{i}") for i, x in enumerate(p)]).agg(*[F.sum(F.col("r") * F.col("t") * F.col(f"p{i}")) for i in range(n)]).first(), float)
-        error = reached - goal
-        objective = float((error * error / curve).sum())
-        if len(steps) >= most_steps or np.abs(error).max() <= tolerance * total or objective > 0.99 * last:
-            return members.withColumn("rate", rate), dict(zip(domains, reached.tolist(), strict=True))
-        last = objective
-        steps.append(0.7 * error / curve)
+    met = stationary = not tokens
+    if tokens:
+        curve = np.maximum(np.diag(h), 1e-9 * tokens)  # of each domain's squared error
+        value = lambda e: float((e * e / curve).sum())
+        damp, passes = 0.01, 1
+        while True:
+            error = reached - goal
+            met = bool(np.abs(error).max() <= tolerance * total)
+            if met or stationary or passes >= most_steps:
+                break
+            step = np.linalg.solve(h + damp * np.diag(curve), error)
+            _, moved, then, h_then = measure([*steps, step], 0.7 * error / curve)
+            passes += 1
+            if moved <= 0.1 * tolerance * tokens:
+                stationary = True
+            elif value(then - goal) > value(error) and damp < 1e6:
+                damp *= 10
+            else:
+                steps.append(step)
+                reached, h, damp = then, h_then, max(damp / 4, 1e-6)
+    residual = float(np.abs(reached - goal).max() / total) if total else 0.0
+    by = lambda x: dict(zip(domains, x.tolist(), strict=True))
+    report = {"reached": by(reached), "goal": by(goal), "residual": residual, "met": met, "stationary": stationary, "steps": len(steps)}
+    (LOG.info if met else LOG.warning)("rates: targets %s, residual %.4f of all tokens, %d steps%s", "met" if met else "not met", residual, len(steps), "" if met or stationary else ", not settled")
+    return members.withColumn("rate", _rate(steps, least)), report
+
+
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, **how) -> tuple[DataFrame, dict[str, float]]:
+    """(members with rate, expected tokens by domain). targets: weights of the domains, scaled
+    to sum to 1; total: tokens to reach, by default as many as there are; how: see solve_rates."""
+    rated, report = solve_rates(members, domains, targets, total, **how)
+    return rated, report["reached"]
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None = None) -> DataFrame:
@@ -197,10 +251,24 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good").alias("domain"))
 
 
-def keep_rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, least: float = 0.05) -> DataFrame:
-    """docs with a column rate, without documents whose rate is under least: those that the
-    targets leave no use for. Rows of one id share a rate; rows without an id stay, at 1."""
-    rated = mix(docs, labels, targets or TARGETS).groupBy(F.col("doc_id").alias("_id")).agg(F.min("rate").alias("rate"))
-    rows = docs.drop("rate").select(F.struct("*").alias("row"))  # so that no name clashes
-    both = rows.join(rated, F.col("row.doc_id") == F.col("_id"), "left")
-    return both.select("row.*", F.coalesce("rate", F.lit(1.0)).alias("rate")).where(F.col("rate") >= least)
+#: The pipeline's decision on a document, apart from its rate: posterior of a domain from which on it goes.
+WORST = {"toxic": 0.5}
+#: Least rate of a document that stays; the fit counts it in, so that what is put out holds the tokens that were fitted.
+LEAST = 1e-3
+
+
+def keep_rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, worst: dict[str, float] | None = None, least: float = LEAST) -> DataFrame:
+    """docs with a column rate, without the documents whose posterior of a domain in worst reaches
+    its limit. Rates are fitted over those that stay and remove none. Rows of one id and one
+    text share a rate; others have their own, rows without an id too."""
+    targets, worst = targets or TARGETS, WORST if worst is None else worst
+    domains = sorted(targets)
+    key = F.xxhash64(F.col("text")).alias("_text")
+    members = cut(memberships(docs, train(docs, labels, domains), key))
+    bad = [F.element_at("p", domains.index(d) + 1) >= x for d, x in worst.items() if d in domains]
+    stay = members.where(~reduce(or_, bad, F.lit(False)))
+    rated = solve_rates(stay, domains, targets, least=least)[0]
+    rated = rated.groupBy(F.col("doc_id").alias("_id"), "_text").agg(F.min("rate").alias("rate"))
+    rows = docs.drop("rate").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_row_id"), key.alias("_row_text"))  # so that no name clashes
+    both = rows.join(rated, F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_row_text") == F.col("_text")))
+    return both.select("row.*", "rate")
