@@ -42,17 +42,32 @@ def repo_ref(uri: Column, assume_head: bool) -> Column:
     return F.struct(F.when(named, F.regexp_extract(rest, "^//([^/]*)", 1)).alias("repo_name"), F.when(head, F.concat(F.lit("heads/"), path)).otherwise(path).alias("sub_path"))
 
 
-def append_path(base: Column, path: Column, drop_last: bool = True, depth: int = 8) -> Column:
-    """path as seen from the hierarchical base: `..` and `.` segments are taken out, up to depth of
-    them nested. Null where either is null."""
-    is_uri, host = base.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?)", 1)
+def without_dots(path: Column) -> Column:
+    """path without its `.` segments, and without each `..` that has a named segment before it,
+    which goes too. The first segment (what is before the first slash) always stays."""
+
+    def step(kept: Column, segment: Column) -> Column:
+        up = (segment == "..") & (F.size(kept) > 1) & (F.element_at(kept, -1) != "..")
+        return F.when(up, F.slice(kept, 1, F.size(kept) - 1)).when(segment == ".", kept).otherwise(F.concat(kept, F.array(segment)))
+
+    parts = F.split(path, "/")
+    ends_open = F.element_at(parts, -1).isin(".", "..")  # a/b/.. is the folder a/
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, 1, 1), step)
+    return F.array_join(F.when(ends_open & (F.element_at(kept, -1) != ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+
+def append_path(base: Column, path: Column, drop_last: bool = True) -> Column:
+    """path as seen from the hierarchical base, with backslashes as slashes and dot segments taken out.
+    An empty base gives path, an empty path base; a URI for path, itself. Null where either is null."""
+    base, path = F.translate(base, "\\", "/"), F.translate(path, "\\", "/")
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*:"
+    is_uri, host = base.rlike(scheme), F.regexp_extract(base, f"({scheme}(//[^/]*)?)", 1)
     root = F.when(is_uri, F.concat(host, path)).otherwise(path)
     plain = F.when(is_uri, F.regexp_replace(base, "(?<!^)[?#].*$", "")).otherwise(base)
     folder = F.regexp_replace(plain, "[^/]*$", "") if drop_last else F.when(plain.endswith("/"), plain).otherwise(F.concat(plain, F.lit("/")))
-    joined = F.concat(folder, path)
-    for _ in range(depth):
-        joined = F.regexp_replace(joined, r"/[^/]+/\.\./|/\./", "/")  # fixed value
-    return F.when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), path).when(path.startswith("/"), root).otherwise(joined)
+    top = F.regexp_extract(folder, f"^({scheme[1:]}//[^/]*)/", 1)  # dots do not climb above the host
+    joined = F.concat(top, without_dots(F.substring(F.concat(folder, path), F.length(top) + F.lit(1), F.length(folder) + F.length(path))))
+    return F.when(base == "", path).when(path == "", base).when(path.rlike(scheme), path).when(path.startswith("/"), root).otherwise(joined)
 
 
 def strip_subject(uri: Column) -> Column:
@@ -87,8 +102,9 @@ def from_cp437(data: Column) -> Column:
 
 
 def option_true(text: Column, default: bool = False) -> Column:
-    """An option's truth: default for null; false for an empty text, 0 and false; else true."""
-    return F.when(text.isNull(), default).otherwise(~text.isin("", "0", "false"))
+    """An option's truth: default for null, false for an empty text, else true: `0` and `false` are
+    texts too. Values that are booleans or numbers are true where not false or zero: see truth()."""
+    return F.when(text.isNull(), default).otherwise(text != "")
 
 
 def caption(text: Column, most: int = 75) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,22 +42,28 @@ def merge(old: DataFrame, new: DataFrame, policy: str = "Same?Ignore:Fail") -> D
     return both.select("path", urn.alias("urn"), (method == "Fail").alias("conflict"))
 
 
-GLOB_SPECIAL = r"([\\.^$|?+()\[\]{}])"
+def _quoted(text: str) -> str:
+    return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)
 
 
 def glob_regex(rule: str, base: str = "") -> str:
-    """An ignore rule (without a leading !) as a pattern for whole paths."""
-    start = f"^{base}/" if rule.startswith("/") and base else "^" if rule.startswith("/") else "^(?:.*/)?"
-    rule = rule.removeprefix("/").removeprefix("**/")
-    out, at = "", 0
-    while at < len(rule):
-        for token, pattern in (("/**/", "(?:.*/)*"), ("**", ".*"), ("*", "[^/]*")):
-            if rule.startswith(token, at):
-                out, at = out + pattern, at + len(token)
-                break
+    """An ignore rule (without a leading !) as a pattern for whole paths, built segment by segment.
+
+    A rule that begins with a slash holds from base on, others at any depth. A segment ** is any
+    number of directories, or all below where it is the last; in other segments * is any text
+    without a slash, and ** any text.
+    """
+    anchored, last = rule.startswith("/"), rule.count("/")
+    out = [f"{_quoted(base)}/" if base else ""] if anchored else ["(?:.*/)?"]
+    for i, segment in enumerate(rule.split("/")):
+        if i == 0 and anchored:
+            continue
+        if segment == "**":
+            out.append("(?:[^/]+/)*" if i < last else ".*")
         else:
-            out, at = out + ("\\" if rule[at] in r"\.^$|?+()[]{}" else "") + rule[at], at + 1
-    return f"{start}{out}$"
+            stars = [_quoted(p) if k % 2 == 0 else "[^/]*" if p == "*" else ".*" for k, p in enumerate(re.split(r"(\*+)", segment))]
+            out.append("".join(stars) + ("/" if i < last else ""))
+    return f"^{''.join(out)}$"
 
 
 def ignored(path: Column, rules: list[str]) -> Column:

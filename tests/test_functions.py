@@ -74,7 +74,8 @@ def test_commit_graph(spark):
 @pytest.mark.parametrize(("base", "path", "drop", "joined"), [
     ("foo/", "bar/", True, "foo/bar/"), ("foo/", "/bar", True, "/bar"), ("foo/", "E:/junk", True, "E:/junk"), ("foo/baz/", "../bar", True, "foo/bar"),
     ("http://www.example.net/music/", "../style/", True, "http://www.example.net/style/"), ("http://www.example.net/music/whatever", "/", True, "http://www.example.net/"),
-    ("foo", "bar/", False, "foo/bar/"), ("foo", "bar", True, "bar"), ("a/b/c/", "../../d", True, "a/d"), ("http://h/a?q=/x#y", "b", True, "http://h/b"), ("a/", "../../b", True, "a/b"),
+    ("foo", "bar/", False, "foo/bar/"), ("foo", "bar", True, "bar"), ("a/b/c/", "../../d", True, "a/d"), ("http://h/a?q=/x#y", "b", True, "http://h/b"), ("a/", "../../b", True, "a/../../b"), ("a/b/", "gone/./../next", True, "a/b/next"),
+    ("http://h/a/b", "../../../c", True, "http://h/../../c"), ("/" .join("abcdefghijklmnop") + "/", "../" * 15 + "z", True, "a/z"), ("a\\b\\", "c", True, "a/b/c"), ("", "x", True, "x"), ("x", "", True, "x"),
 ])
 def test_append_path(spark, base, path, drop, joined):
     assert one(spark, append_path(F.lit(base), F.lit(path), drop)) == joined
