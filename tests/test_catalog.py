@@ -1,6 +1,7 @@
 """Every query runs, and gives DuckDB's rows where SQL expresses it, over the smallest tables."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -21,7 +22,7 @@ def duck():
 def plain(v):
     if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
         return None
-    return float(v) if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
+    return float(v) if isinstance(v, int | float | np.integer | np.floating) and not isinstance(v, bool) else str(v)
 
 
 def rows(df):
