@@ -3,32 +3,28 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators import lineage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame, free: bool = False) -> DataFrame:
-    """df, written to the cluster's checkpoint folder, so that lost executors lose no work.
-
-    free: shuffle files and checkpoints that no frame needs any more are dropped now, not
-    when the driver next collects its garbage; for jobs whose steps are as large as the input.
+    """df, written to the cluster's checkpoint folder (see lineage.cut), so that lost executors
+    lose no work.
 
-    The folder is the one in `spark.checkpoint.dir`; only where that is unset (tests,
-    a laptop) a temporary folder is made.
+    free: the driver collects its garbage now, so that Spark drops shuffle files and
+    checkpoints that no frame needs any more; for jobs whose steps are as large as the input.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cairn-"))
-    done = df.checkpoint()
+    done = lineage.cut(df)
     if free:
         gc.collect()
-        sc._jvm.System.gc()
+        df.sparkSession.sparkContext._jvm.System.gc()
     return done
 
 

@@ -65,19 +65,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES = {
     "op1_lines": r"""
-        WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-        each AS (SELECT doc_id, i - 1 AS unit, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM split)),
+        WITH split AS (SELECT doc_id, regexp_extract_all(text, '[^\n.!?]*[.!?\n]+|[^\n.!?]+') AS parts FROM documents),
+        each AS (SELECT doc_id, i, parts[i] AS part FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM split)),
         placed AS (
-            SELECT doc_id, unit, length(line) AS size, trim(regexp_replace(lower(line), '[\x09-\x0d ]+', ' ', 'g'), ' ') AS plain,
-                coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            SELECT doc_id, i, length(part) AS size, trim(regexp_replace(lower(part), '[\x09-\x0d ]+', ' ', 'g'), ' ') AS plain,
+                coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
             FROM each),
-        long AS (SELECT * FROM placed WHERE plain <> '' AND len(string_split(plain, ' ')) >= 5),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS unit, len(string_split(plain, ' ')) AS words FROM placed WHERE plain <> ''),
         ranked AS (
             SELECT *, row_number() OVER w AS k, first_value(doc_id) OVER w AS first_id, first_value(unit) OVER w AS first_unit, first_value(start) OVER w AS first_start
-            FROM long WINDOW w AS (PARTITION BY plain ORDER BY doc_id, unit))
+            FROM numbered WINDOW w AS (PARTITION BY plain ORDER BY doc_id, unit)),
+        later AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM ranked WHERE k > 1),
+        runs AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS run_words FROM later)
         SELECT doc_id, CAST(unit AS BIGINT) AS unit, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS "end", first_id,
             CAST(first_unit AS BIGINT) AS first_unit, CAST(first_start AS BIGINT) AS first_start
-        FROM ranked WHERE k > 1""",
+        FROM runs WHERE run_words >= 30""",
     # No item of the benchmark has fewer words than a shingle.
     "op10_decontaminate": r"""
         WITH item_words AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),

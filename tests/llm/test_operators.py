@@ -254,8 +254,26 @@ def test_joined_items(spark):
 def test_lines_cut(spark):
     a, b = "the first line has five words", "another line that has six words"
     df = spark.createDataFrame([(1, f"{a}\n{b}"), (2, f"{b.upper()}\nshort line\n{a}  "), (3, None)], "doc_id long, text string")
-    got = {r["doc_id"]: (r["text"], r["removed_spans"]) for r in lines.without_units(df).collect()}
-    assert got == {1: (f"{a}\n{b}", []), 2: ("\nshort line\n", ["0:31", "43:74"]), 3: (None, [])}
+    got = {r["doc_id"]: (r["text"], r["removed_spans"]) for r in lines.without_units(df, "line", run_words=5).collect()}
+    assert got == {1: (f"{a}\n{b}", []), 2: ("short line\n", ["0:32", "43:74"]), 3: (None, [])}
+    assert lines.without_units(df, "line", run_words=7).where("size(removed_spans) > 0").count() == 0
+
+
+def test_frequent_units(spark, monkeypatch):
+    """Digests that are sent to the units give the same rows as those that are joined."""
+    df = table(spark, SF, "documents")
+    want = sorted(map(tuple, lines.repeated_units(df).collect()))
+    monkeypatch.setattr(lines, "FREQUENT", 1e9)
+    assert want and sorted(map(tuple, lines.repeated_units(df).collect())) == want
+
+
+def test_runs_of_units(spark):
+    """Sentences repeated in a row count together; rows of one id and text do not count twice."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) + "." for x in "xyz")
+    df = spark.createDataFrame([(1, f"{a} {b} {c}"), (2, f"New words. {a} {b}\n{c} More."), (3, f"{a} {b} other {c}"), (4, f"{a} {b}"), (4, f"{a} {b}"), (None, f"{c} {b} {a}")], "doc_id long, text string")
+    got = lines.repeated_units(df).collect()
+    assert sorted((r["doc_id"] or 0, r["unit"]) for r in got) == [(0, 0), (0, 1), (0, 2), (2, 1), (2, 2), (2, 3)]
+    assert sorted((r["doc_id"] or 0) for r in lines.repeated_units(df, run_words=24).collect()) == [0, 0, 0, 2, 2, 2, 3, 3, 4, 4, 4, 4]
 
 
 # Nulls, empty and long texts, ties, repeated rows, empty tables, columns with clashing names
@@ -282,7 +300,7 @@ def items(spark):
 
 
 ALL = {
-    "lines": lambda s, d: lines.repeated_units(d), "cut": lambda s, d: lines.without_units(d), "simhash": lambda s, d: simhash.near_duplicates(d), "keep_one": lambda s, d: simhash.keep_one(d),
+    "lines": lambda s, d: lines.repeated_units(d, run_words=5), "cut": lambda s, d: lines.without_units(d), "simhash": lambda s, d: simhash.near_duplicates(d), "keep_one": lambda s, d: simhash.keep_one(d),
     "suffixes": lambda s, d: suffixes.repeated_bytes(d), "kept": lambda s, d: suffixes.without_repeats(d), "secrets": lambda s, d: secrets.secrets(d), "digest": lambda s, d: secrets.digest(d), "redact": lambda s, d: secrets.redact(d),
     "langid": lambda s, d: langid.predict(d), "identified": lambda s, d: langid.keep_identified(d), "mix": lambda s, d: mixing.mix(d, mixing.domain_labels(labels(s)), mixing.TARGETS), "rated": lambda s, d: mixing.keep_rated(d, mixing.domain_labels(labels(s))),
     "lm": lambda s, d: lm.score(d), "leaks": lambda s, d: decontaminate.leaks(d, items(s)), "clean": lambda s, d: decontaminate.clean(d, items(s)),
