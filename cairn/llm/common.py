@@ -33,6 +33,15 @@ def crc_mod(col: str, n: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(n)
 
 
+def sampled(df: DataFrame, key: str, rows: int, count: int) -> DataFrame:
+    """The rows of df (count of them, or fewer) with the least hashes of key, about `rows` at most: a
+    threshold on the hash cuts them before any sort, so that no partition sends `rows` of its own."""
+    if count <= rows:
+        return df
+    h = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40))
+    return df.where(h < int((1 << 40) * rows / count))
+
+
 def _are_stars(e: DataFrame) -> bool:
     """Whether every u of the edges (u, v) has one v, and no v is a u."""
     ends = e.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in"))

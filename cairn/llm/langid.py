@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import crc_mod
+from cairn.llm.common import crc_mod, sampled
 
 WINDOW = 64
-#: Labelled rows that the network is fitted on, at most; one window of each.
+#: Labelled rows that the network is fitted on, about, at most; one window of each.
 SAMPLE_ROWS = 8000
 HIDDEN = 8
 #: The class of text in no language, learned from corrupted windows, and the probability of it from which on a text is rejected.
@@ -187,12 +187,13 @@ def corrupted(texts: list[bytes], seed: int = 0) -> list[bytes]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, reject: bool = False) -> dict | None:
     """The network fitted on the labelled documents whose crc32(id) mod 4 is not 2: one
-    window, at a place that the id decides, of `rows` of them at most, by the id's hash.
+    window, at a place that the id decides, of about `rows` of them at most, by the id's hash.
     reject: the class JUNK is learned besides, from corrupted windows, as many."""
     at = F.pmod(F.xxhash64(F.lit("at"), id_col), F.greatest(F.length(text_col) - WINDOW, F.lit(1)))
     labelled = docs.where(crc_mod(id_col, 4) != 2).where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     pick = labelled.select(F.col(lang_col).cast("string"), F.substring(text_col, at.cast("int") + 1, F.lit(WINDOW)).cast("binary"), F.xxhash64(id_col).alias("h"))
-    got = sorted((r[0], bytes(r[1]), r[2]) for r in pick.orderBy("h").limit(rows).collect())
+    count = docs.where(crc_mod(id_col, 4) != 2).where(F.col(lang_col).isNotNull()).count()
+    got = sorted((r[0], bytes(r[1]), r[2]) for r in sampled(pick, "h", rows, count).collect())
     texts, langs = [t for _, t, _ in got], [x for x, _, _ in got]
     if reject and len(got) >= LEAST_ROWS:
         # as many passes as fit() makes over 8,000 rows, so that a small sample learns too

@@ -10,41 +10,49 @@ from __future__ import annotations
 
 import logging
 import re
+from collections import Counter
 from functools import reduce
-from operator import or_
+from itertools import islice
+from operator import eq, or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut
+from cairn.llm.common import cut, sampled
 
 LOG = logging.getLogger(__name__)
 
-#: Labelled rows of each domain that the classifier is fitted on, at most.
+#: Labelled rows of each domain that the classifier is fitted on, about, at most.
 SAMPLE_ROWS = 2000
 #: Words that a document is classified by, at most: those that tell domains apart best.
 WORDS = 1000
 #: Documents of the sample that a word is in, at least.
 LEAST_DOCS = 8
-WORD = re.compile(r"[^\W_]+")
-SIGNS = re.compile(r"[^\w\s]{2,}")
+#: What is taken off the ends of words.
+MARKS = ".,;:!?\"'()[]{}<>|*_`~"
+SIGNS = re.compile(r"[^\w\s]{2}")
 SHAPES = 4
 
 
 def features(text: str | None) -> tuple[int, set[str], list[float]]:
-    """Tokens (runs between white space), distinct runs of letters and digits in lower case, and shares of tokens
-    that look unlike prose: in capitals, with runs of signs, repeating the last, signs only."""
+    """Tokens (runs between white space), distinct ones in lower case without marks at their ends, and
+    shares of tokens that look unlike prose: in capitals, with runs of signs, repeating the
+    last, one sign."""
     words = (text or "").split()
     n = len(words)
     if not n:
         return 0, set(), [0.0] * SHAPES
-    capitals = sum(w.isupper() and len(w) > 2 for w in words)
-    signs = len(SIGNS.findall(text))
-    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    bare = sum(not w[0].isalnum() and len(w) == 1 for w in words)
-    return n, set(WORD.findall(text.lower())), [min(1.0, 4 * x / n) for x in (capitals, signs, again, bare)]
+    counts = Counter(words)
+    odd = [(w, c) for w, c in counts.items() if not w.isalnum()]
+    capitals = sum(c for w, c in counts.items() if w.isupper() and len(w) > 2)
+    signs = sum(c for w, c in odd if SIGNS.search(w))
+    bare = sum(c for w, c in odd if len(w) == 1)
+    again = sum(map(eq, words, islice(words, 1, None)))
+    bag = {w.lower().strip(MARKS) for w in counts}
+    bag.discard("")
+    return n, bag, [min(1.0, 4 * x / n) for x in (capitals, signs, again, bare)]
 
 
 def choose_words(counts: list[tuple[str, dict[str, int]]], size: dict[str, int], most: int = WORDS, least_z: float = 4.5) -> list[str]:
@@ -91,22 +99,28 @@ def fit(samples: list[tuple[str, list[int], list[float]]], words: list[str], pri
     return {"domains": domains, "at": at, "w": w.astype(np.float64), "log_prior": np.log([max(prior[d], 1e-9) for d in domains])}
 
 
-def posterior(model: dict, bag: set[str], shape: list[float]) -> np.ndarray:
-    z = model["w"][[model["at"][v] for v in bag & model["at"].keys()]].sum(0) + np.array(shape) @ model["w"][-SHAPES - 1 : -1] + model["w"][-1] + model["log_prior"]
-    e = np.exp(z - z.max())
-    return e / e.sum()
+def posteriors(model: dict, got: list[tuple[int, set[str], list[float]]]) -> np.ndarray:
+    """The domains' posteriors of each text, from its features; one product for all of them."""
+    at, w = model["at"], model["w"]
+    bags = [[at[v] for v in bag & at.keys()] for _, bag, _ in got]
+    ends = np.cumsum([len(b) for b in bags])
+    sums = np.concatenate([np.zeros((1, w.shape[1])), np.cumsum(w[np.array([i for b in bags for i in b], np.int64)], 0)])
+    z = sums[ends] - sums[ends - [len(b) for b in bags]]
+    z += np.array([s for *_, s in got]) @ w[-SHAPES - 1 : -1] + w[-1] + model["log_prior"]
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
 
 
 def train(docs: DataFrame, labels: DataFrame, domains: list[str], rows: int = SAMPLE_ROWS) -> dict:
-    """labels: (doc_id, domain). The classifier, fitted on up to `rows` documents of each
-    domain by the hash of their ids; labels of other domains, null or absent documents
+    """labels: (doc_id, domain). The classifier, fitted on about `rows` documents of each
+    domain at most, by the hash of their ids; labels of other domains, null or absent documents
     are not used. Where a domain has no row, its prior is its smoothed share, zero rows."""
     given = labels.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).select("doc_id", "domain").distinct()
     count = dict(map(tuple, given.groupBy("domain").count().collect()))
     prior = {d: (count.get(d, 0) + 1) / (sum(count.values()) + len(domains)) for d in domains}
     pick = None
     for d in domains:
-        some = given.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        some = sampled(given.where(F.col("domain") == d), "doc_id", rows, count.get(d, 0))
         pick = some if pick is None else pick.unionByName(some)
     chosen = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "domain", "text")
 
@@ -139,9 +153,12 @@ def memberships(docs: DataFrame, model: dict, key: Column | None = None) -> Data
     def run(batches):
         model = sent.value
         for batch in batches:
-            got = [features(t) for t in batch.column(1).to_pylist()]
-            p = [posterior(model, bag, shape) for _, bag, shape in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, *_ in got], pa.int64()), pa.array(p, pa.list_(pa.float64())), *batch.columns[2:]], names)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                got = [features(t) for t in part.column(1).to_pylist()]
+                p = posteriors(model, got)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, *_ in got], pa.int64()), flat, *part.columns[2:]], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([] if key is None else [key.alias("_text")]))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, p array<double>" + (", _text long" if key is not None else ""))
