@@ -1,42 +1,71 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
-P(word | history) = P(class | history) * P(word | class, history): two softmaxes over the
-same hashed features of the history, its last word, last two words, and the words two
-and three back (skips). The SHORT most frequent tokens are in CLASSES classes; all other
-words share one more class, in which they have their smoothed share of the counts.
-Weights are trained by distributed gradient updates: in each round the tasks take
-AdaGrad steps on their own documents, from the same weights, and the changes are summed
-and averaged. Each training document is used in one round. Counts are of all training
-documents; scores are of all documents, in numpy batches.
+Every word has a place in a tree of classes: the digits, base RADIX, of a hash of the word
+name a class, a class within it and so on, in LEVELS steps (as many as the vocabulary
+asks for). P(word | history) is the product of the softmaxes of its digits, each given the
+digits before, and of the word's smoothed share of the counts of its last class. The
+softmaxes start from the classes' shares of the counts and add hashed features of the
+history: the last word, the last two words, and the word two back (a skip). Words that
+share the last class, several at most where the vocabulary is large, are told apart by
+their counts alone.
+
+Weights are trained by distributed gradient updates: in each round the tasks take AdaGrad
+steps on their own documents, from the same weights, and of each weight the changes are
+averaged by how often each task used it. Each training document is used in one round.
+Counts are of all training documents; scores are of all documents, in numpy batches that
+touch only the rows of the weights that the text needs.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import crc_mod, cut
 
-CLASSES, IN_CLASS = 16, 16
-SHORT = CLASSES * IN_CLASS
+RADIX, BITS = 16, 4
+#: Features of the history in the first two softmaxes, and in those behind them.
+WIDE, NARROW = 3, 1
 #: Words of at most this number of kinds are counted in every task; rarer ones are joined.
 HEAD = 200_000
-FEATURES, SLOTS = 1 << 14, 5
 ROUNDS = 3
-#: Tokens of one gradient step or one batch of scores.
-STEP = 16_384
-RATE = 0.25
-BLOCKS = 8
+#: Tokens of one gradient step or one batch of scores; bytes of text that are made tokens at once.
+STEP, CHUNK = 32_768, 1 << 19
+RATE, EASE = 0.4, 4.0
+#: Rows of weights that are sent together.
+BLOCK = 4096
 END = b""
+START = 0x9E3779B9
+_MIX = 1_540_483_477  # times 32 bits, this fits a signed long
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words in ASCII lower case, then the end, which is the empty token."""
-    return [*(text or b"").lower().split(), END]
+def levels_of(v: int) -> int:
+    """Softmaxes of a word, for v kinds of words: their last classes are about v to the power 3/4."""
+    return int(min(5, max(2, round(0.75 * np.log(max(v, 2)) / np.log(RADIX)))))
+
+
+def slots_of(n: int) -> int:
+    """Rows of hashed weights for n training tokens: about 16 times the square root, from 2^12 on,
+    and 2^22 (268 MB) at the most, since each task holds them."""
+    return 1 << int(min(22, max(12, np.ceil(np.log2(16 * np.sqrt(max(n, 1)))))))
+
+
+def pieces(text: bytes | None):
+    """Lists of the tokens of text, a bounded number at a time: words in ASCII lower case, then
+    the end, which is the empty token."""
+    text, at = text or b"", 0
+    while len(text) - at > CHUNK:
+        stop = at + CHUNK
+        while stop < len(text) and not text[stop : stop + 1].isspace():
+            stop += 1
+        yield text[at:stop].lower().split()
+        at = stop
+    yield [*text[at:].lower().split(), END]
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -50,7 +79,8 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                some.update(tokens(text))
+                for words in pieces(text):
+                    some.update(words)
                 if len(some) > 500_000:
                     yield rows()
                     some.clear()
@@ -75,168 +105,205 @@ def head_of(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
     return sorted(((bytes(w), c) for w, c in rows), key=lambda x: (-x[1], x[0]))
 
 
-def vocabulary(head: list[tuple[bytes, int]], n: int, v: int) -> dict:
-    """ids: words by rank, the end always in the short list; counts by id."""
-    words = [(END, dict(head).get(END, 0)), *((w, c) for w, c in head if w != END)]
-    short = np.zeros(SHORT)
-    short[: len(words[:SHORT])] = [c for _, c in words[:SHORT]]
-    return {
-        "ids": {w: i for i, (w, _) in enumerate(words)}, "counts": np.array([c for _, c in words] + [0], np.float64), "short": short,
-        "n": n, "v": v, "n_rest": n - short.sum(), "v_rest": max(0, v - min(SHORT, len(words))),
-    }
-
-
-def first_weights(vocab: dict) -> dict[str, np.ndarray]:
-    """Weights that give the counts' shares, whatever the history: the last slot is the bias."""
-    short = vocab["short"].reshape(IN_CLASS, CLASSES).T + 0.1  # word i is in class i % CLASSES
-    by_class = np.append(short.sum(1), vocab["n_rest"] + 0.1)
-    w = {"class": np.zeros((FEATURES, CLASSES + 1), np.float32), "word": np.zeros((FEATURES, IN_CLASS), np.float32)}
-    w["class"][0] = np.log(by_class / by_class.sum())
-    w["word"][1 : 1 + CLASSES] = np.log(short / short.sum(1, keepdims=True))
-    return w
-
-
-def _hash(*parts: np.ndarray | int) -> np.ndarray:
-    h = np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        for p in parts:
-            h = (h ^ np.asarray(p).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-            h = h ^ (h >> np.uint64(29))
-    return (h % np.uint64(FEATURES - 1 - CLASSES)).astype(np.int64) + 1 + CLASSES
-
+def leaf_of(word: Column, levels: int) -> Column:
+    """A word's last class, as leaves() has it."""
+    mixed = (F.crc32(word) * F.lit(_MIX)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftright(mixed, 32 - BITS * levels)
 
-def examples(vocab: dict, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """(ids of all tokens, three ids before each, tokens of each text, the texts' tokens)."""
-    get, rare = vocab["ids"].get, len(vocab["counts"]) - 1
-    start = rare + 1
-    lists = [tokens(t) for t in texts]
-    flat: list[int] = []
-    for words in lists:
-        flat += (start, start, start)
-        flat += [get(w, rare) for w in words]
-    ids = np.array(flat, np.int64)
-    sizes = np.array([len(x) for x in lists], np.int64)
-    at = np.arange(int(sizes.sum())) + 3 * np.repeat(np.arange(1, len(sizes) + 1), sizes)
-    return ids[at], np.stack([ids[at - 1], ids[at - 2], ids[at - 3]]), sizes, lists
 
+def leaves(crc: np.ndarray, levels: int) -> np.ndarray:
+    return (crc.astype(np.uint64) * np.uint64(_MIX) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - BITS * levels)
 
-def class_features(before: np.ndarray) -> np.ndarray:
-    a, b, c = before
-    return np.stack([_hash(1, a), _hash(2, a, b), _hash(3, b), _hash(4, c), np.zeros(len(a), np.int64)], 1)
 
-
-def word_features(before: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    a, b, c = before
-    return np.stack([_hash(5, a, kind), _hash(6, a, b, kind), _hash(7, b, kind), _hash(8, c, kind), 1 + kind], 1)
+def vocabulary(counts: DataFrame, n: int, v: int) -> dict:
+    """What every task knows of the counts: the frequent words' own, and by last class the mass of
+    its words, each with 0.1 more, and 0.1 for all that are unknown."""
+    levels = levels_of(v)
+    words = head_of(counts)
+    by_leaf = counts.groupBy(leaf_of(F.col("word"), levels).alias("leaf")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
+    mass = np.full(RADIX**levels, 0.1)
+    for leaf, c, kinds in by_leaf:
+        mass[leaf] += c + 0.1 * kinds
+    bias, up = [], mass
+    for _ in range(levels):
+        part = up.reshape(-1, RADIX)
+        up = part.sum(1)
+        bias.append(np.log(part / up[:, None]).astype(np.float32))
+    return {
+        "ids": {w: i for i, (w, _) in enumerate(words)}, "counts": np.array([c for _, c in words] + [0], np.float64),
+        "mass": mass, "bias": bias[::-1], "levels": levels, "n": n, "v": v,
+    }
 
 
-def _softmax(w: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = w[features[:, 0]]
-    for s in range(1, SLOTS):
-        z += w[features[:, s]]
-    z -= z.max(1, keepdims=True)
+def sequences(texts: list[bytes | None]):
+    """(row, words, crc32 of each word, crc32 of the last, second and third token before each) of
+    runs of rows, of about CHUNK bytes; row: the text of each token."""
+    held: list[tuple[int, list[bytes], tuple[int, int, int]]] = []
+    size = 0
+
+    def done():
+        pads, n = [c for *_, c in held], np.array([len(w) for _, w, _ in held], np.int64)
+        words = [x for _, w, _ in held for x in w]
+        crc = np.fromiter(map(crc32, words), np.int64, len(words))
+        before = []
+        for back in (1, 2, 3):
+            b = np.empty_like(crc)
+            b[back:] = crc[:-back]
+            before.append(b)
+        starts = np.cumsum(n) - n
+        for k, (at, pad) in enumerate(zip(starts.tolist(), pads, strict=True)):
+            for back in range(1, 4):
+                for i in range(min(back, int(n[k]))):
+                    before[back - 1][at + i] = pad[back - 1 - i]
+        return np.repeat([r for r, *_ in held], n), words, crc, before
+
+    for row, text in enumerate(texts):
+        last = (START, START, START)
+        for words in pieces(text):
+            held.append((row, words, last))
+            tail = [crc32(w) for w in words[-3:]][::-1]
+            last = (*tail, *last)[:3]
+            size += len(words)
+            if size > CHUNK // 8:
+                yield done()
+                held, size = [], 0
+    if held:
+        yield done()
+
+
+def history(before: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the features: the last word, the last two, and the one two back."""
+    a, b, _ = (x.astype(np.uint64) for x in before)
+    m1, m2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+    return [(a + np.uint64(1)) * m1, ((a * m2) ^ (b + np.uint64(7))) * m1, (b + np.uint64(3)) * m2]
+
+
+def rows_of(features: list[np.ndarray], level: int, node: np.ndarray, slots: int) -> list[np.ndarray]:
+    """The rows of weights that a softmax adds up: one for each feature, with its node."""
+    key = (node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(level * 0xA24BAED4963EE407 & (1 << 64) - 1)
+    shift = np.uint64(64 - slots.bit_length() + 1)
+    return [(((f ^ key) * np.uint64(0xFF51AFD7ED558CCD)) >> shift).astype(np.int64) for f in features[: WIDE if level < 2 else NARROW]]
+
+
+def softmax(bias: np.ndarray, node: np.ndarray, w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Of each token, the chances of all digits; weights are clipped, so nothing overflows."""
+    z = bias[node]
+    for r in rows:
+        z += w[r]
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= (z @ np.ones(RADIX, np.float32))[:, None]
     return z
 
 
-def _descend(w: np.ndarray, squares: np.ndarray, features: np.ndarray, target: np.ndarray) -> None:
-    """One AdaGrad step, in place, on the mean loss of the batch, by feature."""
-    p = _softmax(w, features)
-    p[np.arange(len(target)), target] -= 1
-    g = np.empty(w.shape)
-    for j in range(w.shape[1]):
-        g[:, j] = np.bincount(features.ravel(), np.repeat(p[:, j], SLOTS), len(w))
-    squares += g * g
-    w -= (RATE * g / np.sqrt(squares + 25.0)).astype(np.float32)
+def paths(leaf: np.ndarray, levels: int):
+    """(level, node, digit) of each softmax on the way to the leaves."""
+    leaf = leaf.astype(np.int64)
+    for level in range(levels):
+        yield level, leaf >> BITS * (levels - level), leaf >> BITS * (levels - 1 - level) & RADIX - 1
 
 
-def train_round(docs: DataFrame, vocab: dict, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Weights after one round over docs' t: the tasks' changes, averaged by their tokens."""
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, weights))
+def descend(vocab: dict, w: np.ndarray, squares: np.ndarray, uses: np.ndarray, leaf: np.ndarray, features: list[np.ndarray]) -> None:
+    """One AdaGrad step, in place, on the log probability of the tokens; a rate for each row."""
+    for level, node, digit in paths(leaf, vocab["levels"]):
+        rows = rows_of(features, level, node, len(w))
+        p = softmax(vocab["bias"][level], node, w, rows)
+        p[np.arange(len(digit)), digit] -= 1
+        for r in rows:
+            order = np.argsort(r)
+            at = r[order]
+            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            g, used = np.add.reduceat(p[order], starts, 0), at[starts]
+            squares[used] += np.einsum("ij,ij->i", g, g)
+            uses[used] += np.diff(np.r_[starts, len(at)])
+            w[used] = np.clip(w[used] - RATE * g / np.sqrt(squares[used] + EASE)[:, None], -10, 10)
+
+
+def train_round(docs: DataFrame, vocab: dict, weights: np.ndarray) -> np.ndarray:
+    """Weights after one round over docs' t: of each row the tasks' changes, averaged by uses."""
+    sc = docs.sparkSession.sparkContext
+    sent = sc.broadcast(({k: vocab[k] for k in ("bias", "levels")}, weights))
 
     def run(batches):
         vocab, first = sent.value
-        w = {k: v.copy() for k, v in first.items()}
-        squares = {k: np.zeros(v.shape) for k, v in w.items()}
-        seen = 0
+        w, squares, uses = first.copy(), np.zeros(len(first), np.float32), np.zeros(len(first), np.float32)
         for batch in batches:
-            ids, before, _, _ = examples(vocab, batch.column(0).to_pylist())
-            for at in range(0, len(ids), STEP):
-                some, past = ids[at : at + STEP], before[:, at : at + STEP]
-                known = some < SHORT
-                _descend(w["class"], squares["class"], class_features(past), np.where(known, some % CLASSES, CLASSES))
-                kind = some[known] % CLASSES
-                if len(kind):
-                    _descend(w["word"], squares["word"], word_features(past[:, known], kind), some[known] // CLASSES)
-                seen += len(some)
-        if seen:
-            change = np.concatenate([(w[k] - first[k]).ravel() for k in ("class", "word")]) * np.float32(seen)
-            parts = np.array_split(change, BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int64()), pa.array([seen] * BLOCKS, pa.int64()), pa.array([x.astype("<f4").tobytes() for x in parts], pa.binary())], ["block", "seen", "change"])
+            for _, _, crc, before in sequences(batch.column(0).to_pylist()):
+                leaf, features = leaves(crc, vocab["levels"]), history(before)
+                for at in range(0, len(crc), STEP):
+                    descend(vocab, w, squares, uses, leaf[at : at + STEP], [f[at : at + STEP] for f in features])
+        for k in range(0, len(w), BLOCK):
+            n = uses[k : k + BLOCK]
+            if n.any():
+                change = (w[k : k + BLOCK] - first[k : k + BLOCK]) * n[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n.astype("<f4").tobytes()], pa.binary()), pa.array([change.astype("<f4").tobytes()], pa.binary())], ["block", "uses", "change"])
 
     def add(batches):
         total: dict[int, list] = {}
         for batch in batches:
-            for block, seen, change in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                one = np.frombuffer(change, "<f4").astype(np.float64)
+            for block, uses, change in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = np.frombuffer(uses, "<f4").astype(np.float64), np.frombuffer(change, "<f4").astype(np.float64)
                 if block in total:
-                    total[block][0] += seen
-                    total[block][1] += one
+                    total[block][0] += x
+                    total[block][1] += y
                 else:
-                    total[block] = [seen, one]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([(x[1] / x[0]).astype("<f4").tobytes() for x in total.values()], pa.binary())], ["block", "seen", "change"])
-
-    kind = "block long, seen long, change binary"
-    got = {r[0]: np.frombuffer(bytes(r[2]), "<f4") for r in docs.select("t").mapInArrow(run, kind).repartition(BLOCKS, "block").mapInArrow(add, kind).collect()}
+                    total[block] = [x, y]
+        for block, (x, y) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([x.astype("<f4").tobytes()], pa.binary()), pa.array([y.astype("<f4").tobytes()], pa.binary())], ["block", "uses", "change"])
+
+    kind = "block long, uses binary, change binary"
+    # Few tasks, each over many documents: what they send does not grow with the corpus.
+    parts = docs.select("t").coalesce(4 * sc.defaultParallelism).mapInArrow(run, kind)
+    out = weights.copy()
+    for block, uses, change in parts.repartition("block").mapInArrow(add, kind).collect():
+        x, y = np.frombuffer(bytes(uses), "<f4"), np.frombuffer(bytes(change), "<f4").reshape(-1, RADIX)
+        out[block : block + BLOCK] += y / np.maximum(x, 1)[:, None]
     sent.unpersist()
-    if not got:
-        return weights
-    change = np.concatenate([got[b] for b in range(BLOCKS)])
-    cut_at = weights["class"].size
-    return {"class": weights["class"] + change[:cut_at].reshape(weights["class"].shape), "word": weights["word"] + change[cut_at:].reshape(weights["word"].shape)}
-
-
-def log_probs(vocab: dict, w: dict[str, np.ndarray], ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """log10 P of each token; of words out of the head, without their share of the rest."""
-    out = np.empty(len(ids))
-    smooth = np.log10(vocab["counts"] + 0.1) - np.log10(vocab["n_rest"] + 0.1 * (vocab["v_rest"] + 1))
-    for at in range(0, len(ids), STEP):
-        some, past = ids[at : at + STEP], before[:, at : at + STEP]
-        known, rows = some < SHORT, np.arange(len(some))
-        p = _softmax(w["class"], class_features(past))
-        got = np.log10(np.maximum(p[rows, np.where(known, some % CLASSES, CLASSES)], 1e-30))
-        kind = some[known] % CLASSES
-        q = _softmax(w["word"], word_features(past[:, known], kind))
-        got[known] += np.log10(np.maximum(q[np.arange(len(kind)), some[known] // CLASSES], 1e-30))
-        rest = ~known & (some < len(vocab["counts"]) - 1)
-        got[rest] += smooth[some[rest]]
-        out[at : at + STEP] = got
     return out
 
 
-def _scored(docs: DataFrame, vocab: dict, weights: dict) -> DataFrame:
+def log_probs(vocab: dict, w: np.ndarray, crc: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+    """log10 of the chance of each token's last class, over the class's mass: what remains is the
+    token's own count."""
+    leaf, features = leaves(crc, vocab["levels"]), history(before)
+    out = -np.log10(vocab["mass"][leaf.astype(np.int64)])
+    for at in range(0, len(crc), STEP):
+        some = slice(at, at + STEP)
+        p = np.ones(len(leaf[some]))
+        for level, node, digit in paths(leaf[some], vocab["levels"]):
+            q = softmax(vocab["bias"][level], node, w, rows_of([f[some] for f in features], level, node, len(w)))
+            p *= q[np.arange(len(digit)), digit]
+        out[some] += np.log10(p)
+    return out
+
+
+def _scored(docs: DataFrame, vocab: dict, weights: np.ndarray) -> DataFrame:
     """Of each row: sums over the tokens in the head, and its other words with their numbers."""
     sent = docs.sparkSession.sparkContext.broadcast((vocab, weights))
     kinds = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches):
         vocab, w = sent.value
-        rare = len(vocab["counts"]) - 1
-        base = np.log10(vocab["counts"] + 0.1) - np.log10(vocab["n"] + 0.1 * (vocab["v"] + 1))
-        base[rare] = 0
+        ids, rare = vocab["ids"], len(vocab["counts"]) - 1
+        own = np.log10(vocab["counts"] + 0.1)
+        own[rare] = 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids, before, sizes, lists = examples(vocab, part.column(2).to_pylist())
-                ends = np.cumsum(sizes)
-                total = lambda x: np.add.reduceat(x, ends - sizes)  # noqa: B023, E731
-                known = (ids < rare) & (vocab["counts"][ids] > 0)
-                others = [[{"word": word, "n": n} for word, n in Counter([x for x in words if x not in vocab["ids"]]).items()] for words in lists]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes), pa.array(total(known.astype(np.int64))), pa.array(total(base[ids])), pa.array(total(log_probs(vocab, w, ids, before))), pa.array(others, kinds)],
-                    ["id", "held_out", "n_tokens", "n_known", "base", "score", "others"],
-                )
+                m = part.num_rows
+                size, known, base, score = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros(m)
+                others: list[Counter] = [Counter() for _ in range(m)]
+                for row, words, crc, before in sequences(part.column(2).to_pylist()):
+                    at = np.fromiter((ids.get(x, rare) for x in words), np.int64, len(words))
+                    add = lambda x: np.bincount(row, x, m)  # noqa: B023, E731
+                    size += np.bincount(row, minlength=m)
+                    known += add((at < rare).astype(float)).astype(np.int64)
+                    base += add(own[at])
+                    score += add(own[at] + log_probs(vocab, w, crc, before))
+                    for i in np.flatnonzero(at == rare).tolist():
+                        others[row[i]][words[i]] += 1
+                base -= size * np.log10(vocab["n"] + 0.1 * (vocab["v"] + 1))
+                rest = [[{"word": x, "n": n} for x, n in c.items()] for c in others]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), pa.array(known), pa.array(base), pa.array(score), pa.array(rest, kinds)], ["id", "held_out", "n_tokens", "n_known", "base", "score", "others"])
 
     return docs.select("id", "held_out", "t").mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, base double, score double, others array<struct<word:binary,n:long>>")
 
@@ -255,17 +322,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     learned = rows.where("not held_out")
     counts = cut(count_tokens(learned))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    vocab = vocabulary(head_of(counts), n, v)
-    weights = first_weights(vocab)
-    for k in range(rounds):
+    vocab = vocabulary(counts, n, v)
+    weights = np.zeros((slots_of(n), RADIX), np.float32)
+    for k in range(rounds if n else 0):
         weights = train_round(learned.where(F.col("round") == k), vocab, weights)
     found = cut(_scored(rows, vocab, weights).withColumn("uid", F.monotonically_increasing_id()))
     others = found.where(F.size("others") > 0).select("uid", F.inline("others"))
     logs = F.log10(F.coalesce("c", F.lit(0)) + 0.1) * F.col("n")
-    late = others.join(counts, "word", "left").groupBy("uid").agg(F.sum(logs).alias("logs"), F.sum("n").alias("late"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("late_known"))
-    z, rest = float(np.log10(n + 0.1 * (v + 1))), float(np.log10(vocab["n_rest"] + 0.1 * (vocab["v_rest"] + 1)))
+    late = others.join(counts, "word", "left").groupBy("uid").agg(F.sum(logs).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("late_known"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return found.drop("others").join(late, "uid", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + zero("late_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("logs") - zero("late") * z).alias("base_score"), (F.col("score") + zero("logs") - zero("late") * rest).alias("score"),
+        (F.col("base") + zero("logs")).alias("base_score"), (F.col("score") + zero("logs")).alias("score"),
     )
