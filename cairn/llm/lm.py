@@ -19,6 +19,7 @@ touch only the rows of the weights that the text needs.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from cairn.llm.common import crc_mod, cut
 
 RADIX, BITS = 16, 4
-#: Features of the history in the first two softmaxes, and in those behind them.
-WIDE, NARROW = 3, 1
+#: Features of the history in the first softmax, in those behind it, and how many are first.
+WIDE, NARROW, WIDE_LEVELS = 3, 1, 1
 #: Words of at most this number of kinds are counted in every task; rarer ones are joined.
 HEAD = 200_000
 ROUNDS = 3
@@ -143,7 +144,7 @@ def sequences(texts: list[bytes | None]):
 
     def done():
         pads, n = [c for *_, c in held], np.array([len(w) for _, w, _ in held], np.int64)
-        words = [x for _, w, _ in held for x in w]
+        words = list(chain.from_iterable(w for _, w, _ in held))
         crc = np.fromiter(map(crc32, words), np.int64, len(words))
         before = []
         for back in (1, 2, 3):
@@ -182,16 +183,16 @@ def rows_of(features: list[np.ndarray], level: int, node: np.ndarray, slots: int
     """The rows of weights that a softmax adds up: one for each feature, with its node."""
     key = (node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(level * 0xA24BAED4963EE407 & (1 << 64) - 1)
     shift = np.uint64(64 - slots.bit_length() + 1)
-    return [(((f ^ key) * np.uint64(0xFF51AFD7ED558CCD)) >> shift).astype(np.int64) for f in features[: WIDE if level < 2 else NARROW]]
+    return [(((f ^ key) * np.uint64(0xFF51AFD7ED558CCD)) >> shift).astype(np.int64) for f in features[: WIDE if level < WIDE_LEVELS else NARROW]]
 
 
 def softmax(bias: np.ndarray, node: np.ndarray, w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     """Of each token, the chances of all digits; weights are clipped, so nothing overflows."""
-    z = bias[node]
+    z = bias.take(node, 0)
     for r in rows:
-        z += w[r]
+        z += w.take(r, 0)
     np.exp(z, out=z)
-    z /= (z @ np.ones(RADIX, np.float32))[:, None]
+    z *= (1 / (z @ np.ones(RADIX, z.dtype)))[:, None]
     return z
 
 
@@ -208,14 +209,20 @@ def descend(vocab: dict, w: np.ndarray, squares: np.ndarray, uses: np.ndarray, l
         rows = rows_of(features, level, node, len(w))
         p = softmax(vocab["bias"][level], node, w, rows)
         p[np.arange(len(digit)), digit] -= 1
+        columns = np.ascontiguousarray(p.T, np.float64)
         for r in rows:
             order = np.argsort(r)
-            at = r[order]
-            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            g, used = np.add.reduceat(p[order], starts, 0), at[starts]
+            at = r.take(order)
+            new = np.r_[True, at[1:] != at[:-1]]
+            used, group = at[new], np.empty_like(r)
+            group[order] = np.cumsum(new) - 1
+            g = np.stack([np.bincount(group, c, len(used)) for c in columns], 1)  # the rows' sums
             squares[used] += np.einsum("ij,ij->i", g, g)
-            uses[used] += np.diff(np.r_[starts, len(at)])
-            w[used] = np.clip(w[used] - RATE * g / np.sqrt(squares[used] + EASE)[:, None], -10, 10)
+            uses[used] += np.bincount(group)
+            g *= (RATE / np.sqrt(squares[used] + EASE))[:, None]
+            now = w.take(used, 0)
+            now -= g
+            w[used] = np.clip(now, -10, 10, out=now)
 
 
 def train_round(docs: DataFrame, vocab: dict, weights: np.ndarray) -> np.ndarray:
@@ -252,7 +259,7 @@ def train_round(docs: DataFrame, vocab: dict, weights: np.ndarray) -> np.ndarray
 
     kind = "block long, uses binary, change binary"
     # Few tasks, each over many documents: what they send does not grow with the corpus.
-    parts = docs.select("t").coalesce(4 * sc.defaultParallelism).mapInArrow(run, kind)
+    parts = docs.select("t").coalesce(2 * sc.defaultParallelism).mapInArrow(run, kind)
     out = weights.copy()
     for block, uses, change in parts.repartition("block").mapInArrow(add, kind).collect():
         x, y = np.frombuffer(bytes(uses), "<f4"), np.frombuffer(bytes(change), "<f4").reshape(-1, RADIX)
@@ -271,7 +278,7 @@ def log_probs(vocab: dict, w: np.ndarray, crc: np.ndarray, before: list[np.ndarr
         p = np.ones(len(leaf[some]))
         for level, node, digit in paths(leaf[some], vocab["levels"]):
             q = softmax(vocab["bias"][level], node, w, rows_of([f[some] for f in features], level, node, len(w)))
-            p *= q[np.arange(len(digit)), digit]
+            p *= q.ravel().take(np.arange(0, q.size, RADIX) + digit)
         out[some] += np.log10(p)
     return out
 
@@ -293,7 +300,7 @@ def _scored(docs: DataFrame, vocab: dict, weights: np.ndarray) -> DataFrame:
                 size, known, base, score = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros(m)
                 others: list[Counter] = [Counter() for _ in range(m)]
                 for row, words, crc, before in sequences(part.column(2).to_pylist()):
-                    at = np.fromiter((ids.get(x, rare) for x in words), np.int64, len(words))
+                    at = np.fromiter(map(ids.get, words, repeat(rare)), np.int64, len(words))
                     add = lambda x: np.bincount(row, x, m)  # noqa: B023, E731
                     size += np.bincount(row, minlength=m)
                     known += add((at < rare).astype(float)).astype(np.int64)
