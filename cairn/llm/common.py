@@ -42,6 +42,19 @@ def sampled(df: DataFrame, key: str, rows: int, count: int) -> DataFrame:
     return df.where(h < int((1 << 40) * rows / count))
 
 
+def join_split(rows: DataFrame, keyed: DataFrame, on: list[str], add: str, frequent: int = 2000) -> DataFrame:
+    """rows with the column add of keyed, which has one row for each key and n, how many of rows have
+    it; rows of other keys go. Keys that more than one of `frequent` rows have, so many at
+    most, are sent to the rows; only the others are shuffled, so no key fills a task.
+    rows is read twice: write it first."""
+    keyed = cut(keyed.select(*on, add, "n"))
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(keyed.where(F.col("n") > total / frequent).select(*on, F.col(add).alias("_often")))
+    both = rows.join(often, on, "left")
+    rare = both.where("_often IS NULL").drop("_often").join(keyed.where(F.col("n") <= total / frequent).drop("n"), on)
+    return both.where("_often IS NOT NULL").withColumnRenamed("_often", add).unionByName(rare)
+
+
 def _are_stars(e: DataFrame) -> bool:
     """Whether every u of the edges (u, v) has one v, and no v is a u."""
     ends = e.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut
+from cairn.llm.common import cut, join_split
 
 #: What a unit is; the units of a text, put together, are the text, but for separators of paragraphs.
 UNITS = {"line": re.compile("[^\n]*\n+|[^\n]+"), "paragraph": re.compile("(?:[^\n]|\n(?![\x09-\x0d ]*\n))+"), "sentence": re.compile("[^\n.!?]*[.!?\n]+|[^\n.!?]+")}
@@ -66,13 +66,8 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_i
     """
     found = cut(units(docs, unit, id_col, text_col))
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("unit").alias("unit"), F.col("start").alias("start"))
-    first = cut(found.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1"))
-    total = first.agg(F.sum("n")).first()[0] or 0
-    frequent = F.col("n") > total / FREQUENT
-    often = F.broadcast(first.where(frequent).select("hi", "lo", F.col("first").alias("often")))  # FREQUENT rows at most
-    both = found.join(often, ["hi", "lo"], "left")
-    rare = both.where("often IS NULL").drop("often").join(first.where(~frequent).select("hi", "lo", "first"), ["hi", "lo"])
-    later = both.where("often IS NOT NULL").withColumnRenamed("often", "first").unionByName(rare)
+    first = found.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = join_split(found, first, ["hi", "lo"], "first", FREQUENT)
     later = later.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("unit") == F.col("first.unit"))))
     text = Window.partitionBy("id", "row")  # the units of one text
     later = later.withColumn("run", F.col("unit") - F.dense_rank().over(text.orderBy("unit")))

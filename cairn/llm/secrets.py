@@ -26,7 +26,14 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-ALPHABETS = {"hex": DIGIT + "abcdef", "HEX": DIGIT + "ABCDEF", "base32": UPPER + "234567", "base64": UPPER + LOWER + DIGIT + "+/_-"}
+ALPHABETS = {
+    "hex": DIGIT + "abcdef", "HEX": DIGIT + "ABCDEF", "base32": UPPER + "234567", "base32l": LOWER + "234567", "base36": UPPER + DIGIT, "base36l": LOWER + DIGIT,
+    "letters": UPPER + LOWER, "base62": UPPER + LOWER + DIGIT, "base64": UPPER + LOWER + DIGIT + "+/", "base64url": UPPER + LOWER + DIGIT + "-_",
+}
+#: Characters of each encoding that are of one class: capitals, small letters, digits, signs.
+CLASSES = {"hex": (10, 6), "HEX": (10, 6), "base32": (26, 6), "base32l": (26, 6), "base36": (26, 10), "base36l": (26, 10), "letters": (26, 26), "base62": (26, 26, 10), "base64": (26, 26, 10, 2), "base64url": (26, 26, 10, 2)}
+MIXED = ("letters", "base62", "base64", "base64url")
+UUID = "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 #: Of ordinary text: chance that two letters are equal, its standard deviation for one pair, and chance that the class of a character differs from the last one's.
 SAME, SAME_SD, CHANGE = 0.07, 0.26, 0.12
 #: The last one where upper and lower case and digits mix: there, ordinary text is a name of several words.
@@ -73,17 +80,32 @@ def _below(z: Column) -> Column:
     return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
 
 
+def bare(token: Column) -> Column:
+    """The token's characters that can be random: without the dashes of a UUID."""
+    return F.when(token.rlike(UUID), F.replace(token, F.lit("-"), F.lit(""))).otherwise(token)
+
+
 def encoding(token: Column) -> Column:
-    """The encoding that the token's characters suggest; null: digits or words only."""
+    """The encoding that the token's characters suggest. Null: digits alone; letters of one case
+    alone, which cannot be told from words; signs of both base64 alphabets; signs without
+    capitals, small letters and digits, as names and paths have them."""
     return (
-        F.when(token.rlike("^[0-9]+$"), None).when(token.rlike("^[0-9a-f]+$"), "hex").when(token.rlike("^[0-9A-F]+$"), "HEX")
-        .when(token.rlike("^(?=.*[2-7])[A-Z2-7]+$"), "base32").when(token.rlike("^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"), "base64")
+        F.when(token.rlike("^[0-9]+$"), None).when(token.rlike("^[0-9a-f]+$"), "hex").when(token.rlike("^[0-9A-F]+$"), "HEX").when(token.rlike("^([A-Z]+|[a-z]+)$"), None)
+        .when(token.rlike("^[A-Z2-7]+$"), "base32").when(token.rlike("^[a-z2-7]+$"), "base32l").when(token.rlike("^[A-Z0-9]+$"), "base36").when(token.rlike("^[a-z0-9]+$"), "base36l")
+        .when(token.rlike("^[A-Za-z]+$"), "letters").when(~token.rlike("^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"), None)
+        .when(token.rlike("^[A-Za-z0-9]+$"), "base62").when(token.rlike("^[A-Za-z0-9+/]+$"), "base64").when(token.rlike("^[A-Za-z0-9_-]+$"), "base64url")
     )
 
 
 def evidence(token: Column, code: Column) -> Column:
     """-log10 of the chance that ordinary text looks as random as the token, 0 if a test rejects
     that it is random."""
+    uniform, runs, serial, found = battery(token, code)
+    return F.when((F.abs(uniform) <= REJECT) & (F.abs(runs) <= REJECT) & (F.abs(serial) <= REJECT), F.greatest(found, F.lit(0.0))).otherwise(0.0)
+
+
+def battery(token: Column, code: Column) -> tuple[Column, Column, Column, Column]:
+    """Standard scores of the three tests, and -log10 of that chance."""
     n = F.length(token).cast("double")
     size = F.element_at(F.create_map(*[F.lit(x) for k, v in ALPHABETS.items() for x in (k, float(len(v)))]), code)
     alphabet = F.element_at(F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv]), code)
@@ -95,10 +117,9 @@ def evidence(token: Column, code: Column) -> Column:
 
     classes = F.translate(token, UPPER + LOWER + DIGIT + "+/_-", "U" * 26 + "L" * 26 + "D" * 10 + "SSSS")
     changes = F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1
-    parts = {"hex": (10, 6), "HEX": (10, 6), "base32": (26, 6), "base64": (26, 26, 10, 2)}
-    rate = F.element_at(F.create_map(*[F.lit(x) for k, v in parts.items() for x in (k, 1 - sum((a / sum(v)) ** 2 for a in v))]), code)
+    rate = F.element_at(F.create_map(*[F.lit(x) for k, v in CLASSES.items() for x in (k, 1 - sum((a / sum(v)) ** 2 for a in v))]), code)
     runs = (changes - (n - 1) * rate) / F.sqrt((n - 1) * rate * (1 - rate))
-    usual = F.when(code == "base64", CHANGE_MIXED).otherwise(CHANGE)
+    usual = F.when(code.isin(*MIXED), CHANGE_MIXED).otherwise(CHANGE)
     often = (changes - 0.5 - (n - 1) * usual) / F.sqrt((n - 1) * usual * (1 - usual))
 
     def lag(off: Column) -> Column:
@@ -110,8 +131,7 @@ def evidence(token: Column, code: Column) -> Column:
     centred = lambda xs: _let(F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / n, lambda mean: F.transform(xs, lambda x: x - mean))
     serial = _let(_let(place, centred), lag)
 
-    found = -2 * F.log10(F.greatest(_below(like_text), _below(-often)))
-    return F.when((F.abs(uniform) <= REJECT) & (F.abs(runs) <= REJECT) & (F.abs(serial) <= REJECT), F.greatest(found, F.lit(0.0))).otherwise(0.0)
+    return uniform, runs, serial, -2 * F.log10(F.greatest(_below(like_text), _below(-often)))
 
 
 def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -122,16 +142,18 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) ->
     assign = F.when(t.rlike("(?i)password|passwd|secret|token|api_?key"), F.filter(_spans(t, ASSIGN, 2), lambda s: s["size"] >= 12)).otherwise(none)
     access = F.when(t.contains("AKIA"), _spans(t, ACCESS)).otherwise(none)
     hexes = F.when(t.rlike("[0-9a-f]{16}"), _spans(t, HEX)).otherwise(none)
-    tokens = F.when(t.rlike("[A-Za-z0-9+/_-]{20}"), F.filter(_spans(t, TOKEN), lambda s: encoding(s["text"]).isNotNull())).otherwise(none)
+    tokens = F.when(t.rlike("[A-Za-z0-9+/_-]{20}"), F.filter(_spans(t, TOKEN), lambda s: encoding(bare(s["text"])).isNotNull())).otherwise(none)
     base = F.array_sort(F.concat(_kind(assign, "assign"), _kind(access, "access"), _kind(hexes, "hex")))
     # A generator stands between, else the optimizer repeats the patterns where _base is used.
     found = docs.select(*keep, F.inline(F.array(F.struct(base.alias("_base"), tokens.alias("_found")))))
-    free = F.filter("_found", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    # A token that a base span holds only in part stays: the rest of it is as secret.
+    free = F.filter("_found", lambda s: ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
 
     def tested(s: Column) -> Column:
-        code = encoding(s["text"])
-        stratum = F.concat(code, F.lit(":"), F.floor(2 * F.log2(F.length(s["text"]))).cast("string"))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), stratum.alias("stratum"), F.floor(F.least(evidence(s["text"], code), F.lit(30.0)) * BINS).alias("bin"))
+        token = bare(s["text"])
+        code = encoding(token)
+        stratum = F.concat(code, F.lit(":"), F.floor(2 * F.log2(F.length(token))).cast("string"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), stratum.alias("stratum"), F.floor(F.least(evidence(token, code), F.lit(30.0)) * BINS).alias("bin"))
 
     return found.select(*keep, "_base", F.transform(free, tested).alias("_tokens"))
 

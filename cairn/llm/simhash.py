@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import components, cut
+from cairn.llm.common import components, cut, join_split
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -100,14 +100,113 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate group: the one with the smallest id.
+# Whole documents as near copies: a wide fingerprint of many positions, and the shingles themselves
 
-    A null id, and a repeated id, cannot be told apart from its group's smallest: rows
-    with null ids stay, and of rows that repeat the smallest id one stays. All columns
-    are returned as they came.
+#: Positions of a wide fingerprint, and about how many shingles the block at each stands for.
+POSITIONS, EACH, EACH_SHORT = 32, 6, 3
+
+
+def shingles(text: bytes, size: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles of words; fewer words: of the whole sequence."""
+    words = text.lower().split()
+    grams = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64) if words else np.zeros(0, np.uint64))
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """Signed longs, one for each position: the SimHash of the shingles that fall into one of 2^t
+    classes by their hash, named by t and the class. Of long texts only POSITIONS of the
+    classes count, so that a class has about EACH shingles (EACH_SHORT in short texts).
+    Texts whose sizes are a fifth apart at most share a t: each has one or two."""
+    n = len(h)
+    if not n:
+        return np.zeros(0, np.int64)
+    about = np.log2(max(n / EACH, min(POSITIONS, n / EACH_SHORT), 1))
+    out = []
+    for t in sorted({round(max(0.0, about + d)) for d in (-0.17, 0.17)}):
+        kind = h & np.uint64((1 << t) - 1)
+        order = np.argsort(kind, kind="stable")
+        order = order[kind[order] < POSITIONS]
+        of, start = np.unique(kind[order], return_index=True)
+        if len(of):
+            mixed = (h[order] ^ (h[order] >> np.uint64(t))) * np.uint64(0x9E3779B97F4A7C15)  # the class's own bits say nothing
+            bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
+            ones, size = np.add.reduceat(bits, start, 0), np.diff(np.r_[start, len(order)])
+            block = np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
+            out.append((block ^ ((of + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ np.uint64(t << 56)).view(np.int64))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _sets(batches):
+    """Of (id, row, t): digest of the shingle set and the wide fingerprint."""
+    for batch in batches:
+        sets = [shingles(t or b"") for t in batch.column(2).to_pylist()]
+        digest = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.binary()), pa.array([wide_fingerprint(h) for h in sets], pa.list_(pa.int64()))], ["id", "row", "set", "blocks"])
+
+
+def similar_pairs(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of nodes (node, blocks, and the row that stands for each: id, row) whose shingle sets
+    have at least that Jaccard similarity, found over the positions' index.
+
+    Texts that share a block at some position are compared with four of those that do, by
+    four orders, so a block that very many share gives as many pairs as texts; all that
+    share blocks are connected by them. texts (id, row, t) are read for candidates only.
+    """
+    posted = cut(nodes.select("node", F.explode("blocks").alias("block")))
+    place = F.pmod("block", F.lit(4))
+    first = posted.groupBy("block").agg(F.min_by("node", F.struct(F.xxhash64("node", place), "node")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = join_split(posted, first, ["block"], "first").where("node <> first")
+    pairs = cut(met.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct())
+    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "row"), "node")
+    found = texts.alias("t").join(need.alias("n"), (F.col("t.row") == F.col("n.row")) & F.col("t.id").eqNullSafe(F.col("n.id"))).select("node", "t.t")
+
+    def run(batches):
+        for batch in batches:
+            h = [shingles(t or b"").view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.list_(pa.int64()))], ["node", "h"])
+
+    grams = cut(found.dropDuplicates(["node"]).mapInArrow(run, "node long, h array<long>"))
+    both = pairs.join(grams.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(grams.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
+
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group of near copies: the one with the smallest id (null last).
+
+    Documents are linked whose sets of five-word shingles have a Jaccard similarity of at
+    least `similarity`: candidates by the index over wide fingerprints, each verified on
+    the sets. Texts with fewer words are one shingle; texts without a word are copies of
+    each other. Rows that repeat an id are rows of their own: which of them stays, if they
+    are near copies, is decided by a hash of all their columns. Of wholly equal rows one
+    stays. All columns are returned as they came; all must be of types that can be hashed.
     """
-    groups = near_duplicates(docs, id_col, text_col)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    once = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
-    return once.join(gone, once[id_col] == gone["_gone"], "left_anti")
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row, F.col(text_col).cast("binary").alias("t"))
+    sets = cut(rows.mapInArrow(_sets, "id long, row long, set binary, blocks array<long>"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    nodes = cut(sets.groupBy("set").agg(F.min(order).alias("first"), F.first("blocks").alias("blocks")))
+    nodes = nodes.select("set", "blocks", "first", F.col("first.id").alias("id"), F.col("first.row").alias("row"), F.monotonically_increasing_id().alias("node"))
+    group = cut(components(similar_pairs(nodes, rows, similarity))).withColumnRenamed("node", "_node")
+    grouped = nodes.join(group, F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node"))
+    least = grouped.groupBy("component").agg(F.min("first").alias("stays"))
+    decided = grouped.join(least, "component").select("set", "stays")
+    marked = cut(sets.select("id", "row", "set").join(decided, "set").select("id", "row", (F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("row") == F.col("stays.row"))).alias("kept")))
+    gone = marked.where("NOT kept").select(F.col("id").alias("_gone"), F.col("row").alias("_gone_row")).distinct()
+    twice = cut(marked.where("kept").groupBy("id", "row").count().where("count > 1").select(F.col("id").alias("_gone"), F.col("row").alias("_gone_row")))
+    whole = docs.select(F.struct("*").alias("_whole"), F.col(id_col).cast("long").alias("_id"), row.alias("_row"))  # so that no name clashes
+    named = lambda k: F.col("_id").eqNullSafe(k["_gone"]) & (F.col("_row") == k["_gone_row"])
+    out = whole.join(gone, named(gone), "left_anti")
+    if not twice.isEmpty():
+        out = out.join(twice, named(twice), "left_anti").unionByName(whole.join(twice, named(twice), "left_semi").dropDuplicates(["_id", "_row"]))
+    return out.select("_whole.*")
