@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut
+from cairn.llm.common import cut, join_split
 
 WORD = re.compile(r"[^\W_]+")
 #: Items of at most so many bytes together are sent to every task; beyond, they are joined.
@@ -97,32 +97,35 @@ def _joined(docs: DataFrame, items: DataFrame, n: int, threshold: float) -> Data
         lengths = sent.value
         for batch in batches:
             out = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text)
-                out += ((key, g) for g in set().union(*(shingles_of(words, m) for m in lengths if len(words) >= m)))
-            cols = [*zip(*out, strict=True)] or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string())], ["id", "gram"])
+                out += ((row, key, g) for g in set().union(*(shingles_of(words, m) for m in lengths if len(words) >= m)))
+            cols = [*zip(*out, strict=True)] or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["row", "id", "gram"])
 
     def item_grams(batches):
         for batch in batches:
             out = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text)
                 grams = shingles_of(words, n)
                 first = set(sketch_of(grams, threshold)) if grams else set()
-                out += ((key, min(n, len(words)), len(grams), g, g in first) for g in grams)
-            cols = [*zip(*out, strict=True)] or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["item", "length", "n_shingles", "gram", "sketch"])
+                out += ((row, key, min(n, len(words)), len(grams), g, g in first) for g in grams)
+            cols = [*zip(*out, strict=True)] or [()] * 6
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["item_row", "item", "length", "n_shingles", "gram", "sketch"])
 
-    of_items = cut(items.mapInArrow(item_grams, "item long, length long, n_shingles long, gram string, sketch boolean"))
+    numbered = lambda df: df.select(F.monotonically_increasing_id().alias("row"), "id", "t")  # noqa: E731  rows, whatever their ids
+    of_items = cut(numbered(items).mapInArrow(item_grams, "item_row long, item long, length long, n_shingles long, gram string, sketch boolean"))
     sent = docs.sparkSession.sparkContext.broadcast(sorted(r[0] for r in of_items.select("length").distinct().collect()))  # n lengths at most
     known = of_items.select("gram").distinct()
-    grams = cut(docs.mapInArrow(doc_grams, "id long, gram string").join(known, "gram", "left_semi"))
-    candidates = grams.join(of_items.where("sketch"), "gram").select("id", "item").distinct()
-    pairs = candidates.join(of_items.select("item", "n_shingles", "gram"), "item").join(grams, ["id", "gram"])
-    counted = pairs.groupBy("id", "item", "n_shingles").agg(F.count("*").alias("n_shared"))
-    return counted.where(F.col("n_shared") >= threshold * F.col("n_shingles") - 1e-9)
+    grams = cut(numbered(docs).mapInArrow(doc_grams, "row long, id long, gram string").join(known, "gram", "left_semi"))
+    often = of_items.where("sketch").join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    posted = often.groupBy("gram").agg(F.collect_set("item_row").alias("of"), F.first("n").alias("n"))
+    candidates = join_split(grams.select("row", "gram"), posted, ["gram"], "of").select("row", F.explode("of").alias("item_row")).distinct()
+    pairs = candidates.join(of_items.select("item_row", "item", "n_shingles", "gram"), "item_row").join(grams, ["row", "gram"])
+    counted = pairs.groupBy("row", "id", "item_row", "item", "n_shingles").agg(F.count("*").alias("n_shared"))
+    return counted.where(F.col("n_shared") >= threshold * F.col("n_shingles") - 1e-9).select("id", "item", "n_shingles", "n_shared")
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -131,7 +134,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int = 5,
 
     docs: doc_id, text; items: item_id, text; other columns are not read. Null or empty
     texts, and texts without a letter or digit, match nothing. A repeated id gives one
-    row for each row of docs that matches (one for each id where the items are joined).
+    row for each row of docs that matches, a null id too, and each row of items is an item of
+    its own: the same rows whether items are sent to the tasks or, being many, joined.
     Empty tables: no rows.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))

@@ -247,6 +247,11 @@ def test_joined_items(spark):
     d, i = table(spark, SF, "documents"), table(spark, SF, "benchmark")
     one, other = (sorted(map(tuple, decontaminate.leaks(d, i, broadcast_bytes=n).collect())) for n in (1 << 30, 0))
     assert one == other and one
+    item = " ".join(f"w{k}" for k in range(20))
+    odd = spark.createDataFrame([(None, f"x {item} y"), (1, item[:40]), (1, item[30:]), (2, item), (2, item), (3, None)], "doc_id long, text string")
+    some = spark.createDataFrame([(7, item), (None, "w0 w1"), (7, item)], "item_id long, text string")
+    both = [sorted((str(r) for r in decontaminate.leaks(odd, some, broadcast_bytes=n).collect())) for n in (1 << 30, 0)]
+    assert both[0] == both[1] and len(both[0]) == 2 * 3 + 4
     gone = {r[0] for r in one}
     assert {r[0] for r in decontaminate.clean(d, i).select("doc_id").collect()} == {r[0] for r in d.select("doc_id").collect()} - gone
 
