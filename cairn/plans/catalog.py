@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.codecs import BASE32, base32_of_hex, cache_record, data_uri, parse_cache_record, parse_data_uri, percent_decode, percent_encode, percent_encode_bytes, xml_escape
+from cairn.functions.formats import IMAGE_NAME, LINK, base32_decode, convert, file_path, file_uri, guess_type, is_absolute, is_hierarchical, is_uri, listing, next_key, parse_date, query_arguments, scaled_size, type_by_name, urn_kinds, xml_unescape
 from cairn.functions.ordering import natural_key
 from cairn.functions.tiger import bitprint_urn, tiger_urn
 from cairn.functions.urn import PURE, equivalent, post_sector_path, sha1_part, sha1_urn, tiger_part
@@ -147,10 +148,10 @@ def urn_equivalence(spark, d):
     return docs.select("doc_id", equivalent(F.col("a"), b).alias("same"))
 
 
-@query("""SELECT page_id, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') AS is_uri, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:/') AS hierarchical, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_matches(url, '[?]') AS has_query FROM pages""")
+@query("""SELECT page_id, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') AS is_uri, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:/') AS hierarchical, regexp_matches(url, '^/|^[^/:]+:') AS absolute, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_matches(url, '[?]') AS has_query FROM pages""")
 def uri_predicates(spark, d):
     u = F.col("url")
-    return read(spark, d, "pages").select("page_id", u.rlike("^[A-Za-z][A-Za-z0-9+.-]*:").alias("is_uri"), u.rlike("^[A-Za-z][A-Za-z0-9+.-]*:/").alias("hierarchical"), F.regexp_extract(u, "^[a-z]+://([^/]+)", 1).alias("host"), u.contains("?").alias("has_query"))
+    return read(spark, d, "pages").select("page_id", is_uri(u).alias("is_uri"), is_hierarchical(u).alias("hierarchical"), is_absolute(u).alias("absolute"), F.regexp_extract(u, "^[a-z]+://([^/]+)", 1).alias("host"), u.contains("?").alias("has_query"))
 
 
 @query("""WITH q AS (SELECT page_id, unnest(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&')) AS arg FROM pages WHERE url LIKE '%?%')
@@ -318,17 +319,28 @@ def ttl_cache_hits(spark, d):
 # Documents of other formats
 
 
-@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:src|href|resource)="([^"]*)"', 1)) AS link FROM pages), c AS (SELECT page_id, regexp_replace(link, '^/', '') AS link FROM l)
-SELECT page_id, CASE WHEN link LIKE '%/%' THEN regexp_extract(link, '^([^/]*)/', 1) ELSE link END AS name, link LIKE '%/%' AS is_dir, count(*) AS n FROM c WHERE link <> '' AND link NOT LIKE '../%' AND link NOT LIKE '?%' GROUP BY 1, 2, 3""")
+@query(r"""WITH p AS (SELECT page_id, regexp_extract_all(html, '(?:src|href|resource)="([^"\r\n]*)"', 1) AS links FROM pages), l AS (SELECT page_id, i, links[i] AS link FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM p)),
+c AS (SELECT page_id, i, regexp_replace(replace(replace(replace(replace(link, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '^\./', '') AS link FROM l)
+SELECT page_id, string_split(link, '/')[1] AS name, arg_max(link LIKE '%/%', i) AS is_dir FROM c WHERE link <> '' AND link NOT LIKE '../%' AND link NOT LIKE '?%' AND link NOT LIKE '/%' AND NOT regexp_matches(link, '^[^/:]+:') GROUP BY 1, 2""")
 def html_listing(spark, d):
-    links = read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('(?:src|href|resource)="([^"]*)"'), F.lit(1))).alias("link"))
-    links = links.select("page_id", F.regexp_replace("link", "^/", "").alias("link")).where("link <> '' AND link NOT LIKE '../%' AND link NOT LIKE '?%'")
-    return links.groupBy("page_id", F.substring_index("link", "/", 1).alias("name"), F.col("link").contains("/").alias("is_dir")).agg(F.count("*").alias("n"))
+    """A page as a directory: of links to one name the last counts."""
+    found = read(spark, d, "pages").select("page_id", F.posexplode(listing(F.col("html"))).alias("pos", "e"))
+    return found.groupBy("page_id", F.col("e.name").alias("name")).agg(F.max_by("e.is_dir", "pos").alias("is_dir"))
 
 
-@query("SELECT page_id, CASE WHEN contains(lower(substr(html, 1, 500)), '<html') THEN 'text/html' ELSE 'text/plain; charset=utf-8' END AS kind FROM pages")
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN CASE WHEN contains(lower(substr(html, 1, 1024)), '<html') THEN 'text/html; charset=utf-8' ELSE 'text/plain; charset=utf-8' END
+WHEN 1 THEN 'application/rdf+xml' WHEN 2 THEN 'image/png' WHEN 3 THEN 'text/plain; charset=utf-8' END AS kind FROM pages""")
 def content_sniff(spark, d):
-    return read(spark, d, "pages").select("page_id", F.when(F.lower(F.substring("html", 1, 500)).contains("<html"), "text/html").otherwise("text/plain; charset=utf-8").alias("kind"))
+    """Pages, RDF, images, text and other bytes."""
+    html, k = F.col("html").cast("binary"), F.col("page_id") % 5
+    content = F.when(k == 0, html).when(k == 1, F.concat(F.lit(b"<Directory>"), html)).when(k == 2, F.concat(F.unhex(F.lit("89504E470D0A")), html)).when(k == 3, F.lit(b"plain text")).otherwise(F.concat(F.unhex(F.lit("FF00")), html))
+    return read(spark, d, "pages").select("page_id", guess_type(content).alias("kind"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'text/plain; charset=utf-8' WHEN 1 THEN 'audio/flac' END AS kind FROM part")
+def content_type_by_name(spark, d):
+    name = F.concat("p_name", F.element_at(F.array(*map(F.lit, (".TXT", ".flac", ".longer", ""))), (F.col("p_partkey") % 4 + 1).cast("int")))
+    return read(spark, d, "part").select("p_partkey", type_by_name(name).alias("kind"))
 
 
 @query("""SELECT event_id, replace(replace(replace(replace(props, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS xml, json_extract_string(props, '$.k') AS k FROM events""")
@@ -380,11 +392,14 @@ def tree_walk_blobs(spark, d):
     return trees.with_directories(customer_tree(spark, d)).where("NOT is_dir").select("path", "name")
 
 
-@query("SELECT conv_id, max(turn) || '-' || role AS highest, CAST(max(turn) + 1 AS VARCHAR) AS next FROM (SELECT conv_id, turn, arg_max(role, turn) OVER (PARTITION BY conv_id) AS role FROM conversations) GROUP BY conv_id, role")
+@query("""WITH n AS (SELECT conv_id, turn, role FROM conversations WHERE conv_id % 3 <> 0 AND turn % 4 <> 3), h AS (SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM n GROUP BY 1)
+SELECT DISTINCT c.conv_id, h.turn || '-' || h.role AS highest, CAST(coalesce(h.turn + 1, 0) AS VARCHAR) AS next FROM conversations c LEFT JOIN h ON h.conv_id = c.conv_id""")
 def heads_next(spark, d):
-    """Of names that begin with digits the highest in natural order, and the key that follows it."""
-    names = read(spark, d, "conversations").select("conv_id", F.concat_ws("-", "turn", "role").alias("name"))
-    return names.groupBy("conv_id").agg(F.max_by("name", natural_key(F.col("name"))).alias("highest")).withColumn("next", (F.regexp_extract("highest", "^[0-9]+", 0).cast("long") + 1).cast("string"))
+    """Of names that begin with digits the highest in natural order, and the key that follows it; 0 where there is none."""
+    name = F.when((F.col("conv_id") % 3 != 0) & (F.col("turn") % 4 != 3), F.concat_ws("-", "turn", "role")).otherwise(F.concat(F.lit("draft"), "turn"))
+    names = read(spark, d, "conversations").select("conv_id", name.alias("name"))
+    numbered = F.when(F.col("name").rlike("^[0-9]"), natural_key(F.col("name")))
+    return names.groupBy("conv_id").agg(F.max_by("name", numbered).alias("highest")).withColumn("next", next_key(F.col("highest")))
 
 
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'repo' || page_id WHEN 1 THEN 'repo' || page_id END AS repo_name, CASE WHEN page_id % 2 = 0 THEN 'heads/' ELSE '' END || 'tree/' || page_id AS sub_path FROM pages")
@@ -445,9 +460,9 @@ def rs_hash_buckets(spark, d):
     return read(spark, d, "part").select("p_partkey", rs_hash(F.col("p_name")).alias("hash")).withColumn("bucket", F.col("hash") % 65536)
 
 
-@query("SELECT page_id, i - 1 AS pos, links[i] AS link FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?:src|href|resource)=\"([^\"]*)\"', 1) AS links FROM pages))")
+@query("SELECT page_id, i - 1 AS pos, links[i] AS link FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?:src|href|resource)=\"([^\"\r\n]*)\"', 1) AS links FROM pages))")
 def html_links(spark, d):
-    found = F.regexp_extract_all("html", F.lit('(?:src|href|resource)="([^"]*)"'), F.lit(1))
+    found = F.regexp_extract_all("html", F.lit(LINK), F.lit(1))
     return read(spark, d, "pages").select("page_id", F.posexplode(found).alias("pos", "link")).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -582,7 +597,7 @@ def relative_to_root(spark, d):
 @query("SELECT p_partkey, p_partkey % 4 IN (1, 2) AS is_image FROM part")
 def image_names(spark, d):
     name = F.concat("p_name", F.element_at(F.array(*map(F.lit, (".txt", ".JPG", ".png", "jpg"))), (F.col("p_partkey") % 4 + 1).cast("int")))
-    return read(spark, d, "part").select("p_partkey", name.rlike(r"(?i)^.*?\.(?:jpe?g|gif|png|bmp)$").alias("is_image"))
+    return read(spark, d, "part").select("p_partkey", name.rlike(IMAGE_NAME).alias("is_image"))
 
 
 @query("SELECT doc_id, count(*) AS entries, min(x) AS first FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS x FROM documents) WHERE x <> '' AND x NOT LIKE '#%' GROUP BY doc_id")
@@ -595,3 +610,63 @@ def uri_list_entries(spark, d):
 @query("SELECT event_id, concat_ws(' ', event_type, user_id, event_id) AS line FROM events")
 def event_log_lines(spark, d):
     return read(spark, d, "events").select("event_id", F.concat_ws(" ", "event_type", "user_id", "event_id").alias("line"))
+
+
+# Formats, file names and conversions
+
+
+@query("SELECT c_custkey, n AS name, CASE n WHEN 'who' THEN c_name WHEN 'flag' THEN 'flag' ELSE 'a=b+c' END AS value FROM customer, (VALUES ('who'), ('flag'), ('x y')) v(n)")
+def query_args_decoded(spark, d):
+    uri = F.concat(F.lit("http://host/page?who="), percent_encode(F.col("c_name")), F.lit("&flag&x%20y=a=b+c"))
+    return read(spark, d, "customer").select("c_custkey", F.inline(query_arguments(uri)))
+
+
+@query("SELECT p_partkey, sha1(p_name) AS hash FROM part")
+def base32_decoded(spark, d):
+    """The hash again, from its base32 in small letters with dashes."""
+    coded = F.regexp_replace(F.lower(base32_of_hex(F.sha1(F.col("p_name").cast("binary")), 20)), "(....)", "$1-")
+    return read(spark, d, "part").select("p_partkey", F.lower(F.hex(base32_decode(coded))).alias("hash"))
+
+
+@query("""SELECT p_partkey, lower(hex(encode(p_name))) AS url_hex, regexp_replace(hex(encode(p_name)), '(..)', '%\\1', 'g') AS hex_url, p_name AS base32_none, upper(hex(encode(p_name))) AS none_upper FROM part""")
+def convert_codecs(spark, d):
+    name = F.col("p_name")
+    return read(spark, d, "part").select(
+        "p_partkey", convert(convert(name, "none", "url"), "url", "hex").alias("url_hex"), convert(convert(name, "none", "hex"), "hex", "url").alias("hex_url"),
+        convert(convert(name, "none", "base32"), "base32", "none").alias("base32_none"), convert(name, "none", "upper-hex").alias("none_upper"),
+    )
+
+
+@query("SELECT o_orderkey, epoch_ms(o_orderdate) AS with_zone, epoch_ms(o_orderdate) AS without, CAST(NULL AS BIGINT) AS bad FROM orders")
+def parse_dates(spark, d):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    at = lambda t: F.unix_millis(parse_date(t))
+    return read(spark, d, "orders").select("o_orderkey", at(F.concat(day, F.lit(" GMT"))).alias("with_zone"), at(day).alias("without"), at(F.concat(F.lit("on "), day)).alias("bad"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'file://host/a%20b/' WHEN 1 THEN 'file:///a%20b/' WHEN 2 THEN 'file:///C:/a/' WHEN 3 THEN 'http://h/' ELSE 'file:a/' END || CASE WHEN c_custkey % 5 = 3 THEN c_name ELSE replace(c_name, '#', '%23') END AS uri,
+CASE c_custkey % 5 WHEN 0 THEN 'host' WHEN 1 THEN '' WHEN 2 THEN '' END AS host, CASE c_custkey % 5 WHEN 0 THEN '/a b/' WHEN 1 THEN '/a b/' WHEN 2 THEN '/C:/a/' WHEN 3 THEN 'http://h/' ELSE 'a/' END || c_name AS path FROM customer""")
+def file_uris(spark, d):
+    """Paths of a host, of this machine, with a drive letter, a URI and a relative path; and back."""
+    start = F.element_at(F.array(*map(F.lit, ("//host/a b/", "/a b/", "C:\\a\\", "http://h/", "a/"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    rows = read(spark, d, "customer").select("c_custkey", file_uri(F.concat(start, "c_name")).alias("uri"))
+    return rows.withColumn("p", file_path(F.col("uri"))).select("c_custkey", "uri", "p.host", "p.path")
+
+
+@query("SELECT event_id, props || ' A < ü & é;' AS text FROM events")
+def xml_unescape_props(spark, d):
+    return read(spark, d, "events").select("event_id", xml_unescape(F.concat(xml_escape(F.col("props")), F.lit(" &#65; &lt; &#252; & &#xE9;;"))).alias("text"))
+
+
+@query("SELECT p_partkey, CAST(p_size * 10 AS BIGINT) AS half_w, CAST(floor(p_size * 5 + 25) AS BIGINT) AS half_h, CAST(60 AS BIGINT) AS wide_w, CAST(floor((p_size * 10 + 50) * 60.0 / (p_size * 20)) AS BIGINT) AS wide_h, CAST(7 AS BIGINT) AS free_w, CAST(p_size * 10 + 50 AS BIGINT) AS free_h FROM part")
+def image_scale_options(spark, d):
+    w, h = F.col("p_size").cast("double") * 20, F.col("p_size").cast("double") * 10 + 50
+    each = {"half": scaled_size(w, h, scale=0.5), "wide": scaled_size(w, h, width=60), "free": scaled_size(w, h, width=7, keep_aspect=False)}
+    return read(spark, d, "part").select("p_partkey", *[s[side].alias(f"{name}_{side[0]}") for name, s in each.items() for side in ("width", "height")])
+
+
+@query("SELECT doc_id, doc_id % 3 <> 1 AS sha1, doc_id % 3 <> 0 AS tiger, doc_id % 3 = 2 AS bitprint FROM documents")
+def urn_translatable(spark, d):
+    sha = F.substring(sha1_urn(F.col("text")), 10, 32)
+    urn_ = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("urn:sha1:"), sha)).when(F.col("doc_id") % 3 == 1, F.lit("urn:tree:tiger:" + "C" * 39)).otherwise(F.concat(F.lit("urn:bitprint:"), sha, F.lit("." + "C" * 39)))
+    return read(spark, d, "documents").select("doc_id", urn_kinds(urn_).alias("k")).select("doc_id", "k.*")
