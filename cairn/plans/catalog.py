@@ -13,7 +13,7 @@ from cairn.functions.ordering import natural_key
 from cairn.functions.tiger import bitprint_urn, tiger_urn
 from cairn.functions.urn import PURE, equivalent, post_sector_path, sha1_part, sha1_urn, tiger_part
 from cairn.functions.values import RS_A, RS_B, append_path, boolean, caption, delta_ms, from_cp437, option_true, repo_ref, rs_hash, strip_subject, thumbnail_name, up_to_root
-from cairn.operators import commits, trees
+from cairn.operators import changes, commits, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -670,3 +670,53 @@ def urn_translatable(spark, d):
     sha = F.substring(sha1_urn(F.col("text")), 10, 32)
     urn_ = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("urn:sha1:"), sha)).when(F.col("doc_id") % 3 == 1, F.lit("urn:tree:tiger:" + "C" * 39)).otherwise(F.concat(F.lit("urn:bitprint:"), sha, F.lit("." + "C" * 39)))
     return read(spark, d, "documents").select("doc_id", urn_kinds(urn_).alias("k")).select("doc_id", "k.*")
+
+
+# Trees with directories
+
+
+SIDES = """WITH w AS (SELECT CAST(o_custkey AS VARCHAR) AS c, CAST(o_custkey AS VARCHAR) || '/' || CAST(o_orderkey AS VARCHAR) AS p, o_custkey AS k, o_orderkey AS o, md5(CAST(o_orderkey % 5 AS VARCHAR)) AS u,
+    md5(CAST(o_orderkey % 5 + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS VARCHAR)) AS v FROM orders),
+o AS (SELECT p AS path, false AS is_dir, u AS urn FROM w WHERE k % 11 <> 0 AND o % 4 <> 0 UNION SELECT c, true, NULL FROM w WHERE k % 11 <> 0 AND o % 4 <> 0 UNION SELECT c, false, md5('old') FROM w WHERE k % 11 = 0),
+n AS (SELECT p AS path, false AS is_dir, v AS urn FROM w WHERE k % 7 <> 0 AND o % 5 <> 0 UNION SELECT c, true, NULL FROM w WHERE k % 7 <> 0 AND o % 5 <> 0 UNION SELECT c, false, md5('new') FROM w WHERE k % 7 = 0),
+b AS (SELECT coalesce(o.path, n.path) AS path, o.is_dir AS od, n.is_dir AS nd, coalesce(NOT o.is_dir AND NOT n.is_dir AND o.urn = n.urn, false) AS same FROM o FULL JOIN n ON o.path = n.path),
+c AS (SELECT path, 'DD' AS op, 0 AS seq, od AND coalesce(NOT nd, true) AS dd FROM b WHERE od AND coalesce(NOT nd, true) UNION ALL SELECT path, 'D', 1, false FROM b WHERE NOT od AND NOT same
+    UNION ALL SELECT path, 'A', 2, coalesce(od, false) FROM b WHERE NOT nd AND NOT same)"""
+
+
+def mixed_trees(spark, d):
+    """Customers' directories of orders before and after; some customers are files on one side."""
+    orders = read(spark, d, "orders").withColumn("top", F.col("o_custkey").cast("string"))
+    key = F.col("o_orderkey")
+
+    def side(kept, as_file, digit, name):
+        files = orders.where(kept).where(~as_file).select(F.concat_ws("/", "top", "o_orderkey").alias("path"), F.md5(digit.cast("string").cast("binary")).alias("urn"))
+        return changes.entries(files.unionByName(orders.where(as_file).select(F.col("top").alias("path"), F.md5(F.lit(name).cast("binary")).alias("urn")).distinct()))
+
+    old = side(key % 4 != 0, F.col("o_custkey") % 11 == 0, key % 5, "old")
+    return old, side(key % 5 != 0, F.col("o_custkey") % 7 == 0, key % 5 + F.when(key % 3 == 0, 1).otherwise(0), "new")
+
+
+@query(f"{SIDES} SELECT path, op FROM c")
+def tree_changes(spark, d):
+    return changes.changes(*mixed_trees(spark, d)).select("path", "op")
+
+
+@query(f"{SIDES} SELECT string_split(path, '/')[1] AS top, string_agg(rpad(op, 3, ' ') || path, chr(10) ORDER BY CASE WHEN dd THEN path || '/' || chr(1114111) ELSE path END, seq) AS dump FROM c GROUP BY 1")
+def tree_changes_dump(spark, d):
+    return changes.dump(changes.changes(*mixed_trees(spark, d)))
+
+
+@query(f"{SIDES} SELECT path, is_dir, urn, CAST(NULL AS VARCHAR) AS conflict FROM n")
+def tree_changes_apply(spark, d):
+    """The changes made to the old tree give the new one, directories too."""
+    old, new = mixed_trees(spark, d)
+    return changes.apply_changes(old, changes.changes(old, new), new)
+
+
+@query(f"""{SIDES}, m AS (SELECT path FROM o JOIN n USING (path) WHERE o.is_dir <> n.is_dir)
+SELECT coalesce(o.path, n.path) AS path, coalesce(o.is_dir, n.is_dir) AS is_dir, CASE WHEN o.path IS NOT NULL AND (string_split(o.path, '/')[1] IN (SELECT path FROM m) OR n.path IS NULL) THEN o.urn ELSE n.urn END AS urn,
+CASE WHEN string_split(coalesce(o.path, n.path), '/')[1] IN (SELECT path FROM m) THEN 'mixed' END AS conflict
+FROM o FULL JOIN n ON o.path = n.path WHERE o.path IS NOT NULL OR string_split(n.path, '/')[1] NOT IN (SELECT path FROM m)""")
+def tree_merge_replace_files(spark, d):
+    return changes.merge(*mixed_trees(spark, d), files="Replace")
