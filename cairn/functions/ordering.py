@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def natural_key(name: Column) -> Column:
     """Sorts as text where digit runs compare as numbers: a run is its digits without leading
-    zeros, after their number."""
+    zeros, after how many they are. Names equal but for such zeros have equal keys: sort by
+    the name after it."""
     parts = F.regexp_extract_all(name, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
     number = lambda p: F.regexp_replace(p, "^0+", "")
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(p)).cast("string"), 4, "0"), number(p))).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))).otherwise(p)), "")

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from cairn.functions.codecs import BASE32, base32_of_hex, cache_record, data_uri, parse_cache_record, parse_data_uri, percent_decode, percent_encode, percent_encode_bytes, xml_escape
 from cairn.functions.formats import IMAGE_NAME, LINK, base32_decode, convert, file_path, file_uri, guess_type, is_absolute, is_hierarchical, is_uri, listing, next_key, parse_date, query_arguments, scaled_size, type_by_name, urn_kinds, xml_unescape
 from cairn.functions.ordering import natural_key
+from cairn.functions.rdf import NAMESPACE, RDF
 from cairn.functions.tiger import bitprint_urn, tiger_urn
 from cairn.functions.urn import PURE, equivalent, post_sector_path, sha1_part, sha1_urn, tiger_part
 from cairn.functions.values import RS_A, RS_B, append_path, boolean, caption, delta_ms, from_cp437, option_true, repo_ref, rs_hash, strip_subject, thumbnail_name, up_to_root
-from cairn.operators import changes, commits, trees
+from cairn.operators import changes, commits, merkle, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,7 +47,7 @@ def urn(text: str) -> str:
 
 
 def natural(name: str) -> str:
-    return f"array_to_string(list_transform(regexp_extract_all({name}, '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(CAST(length(regexp_replace(p, '^0+', '')) AS VARCHAR), 4, '0') || regexp_replace(p, '^0+', '') ELSE p END), '')"
+    return f"array_to_string(list_transform(regexp_extract_all({name}, '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(CAST(length(regexp_replace(p, '^0+', '')) AS VARCHAR), 10, '0') || regexp_replace(p, '^0+', '') ELSE p END), '')"
 
 
 # Blobs and stores
@@ -54,9 +55,10 @@ def natural(name: str) -> str:
 
 @query(f"SELECT {urn('text')} AS urn, octet_length(encode(text)) AS size, count(*) AS copies, min(doc_id) AS first_doc, substr({b32('sha1(text)')}, 1, 2) || '/' || {b32('sha1(text)')} AS path FROM documents GROUP BY text")
 def blob_manifest(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", sha1_urn(F.col("text")).alias("urn"), F.octet_length("text").cast("long").alias("size"))
-    found = docs.groupBy("urn", "size").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
-    return found.withColumn("path", post_sector_path(F.substring("urn", 10, 32)))
+    docs = read(spark, d, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("h"), F.octet_length("text").cast("long").alias("size"))
+    found = docs.groupBy("h", "size").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+    name = base32_of_hex(F.col("h"), 20)
+    return found.select(F.concat(F.lit("urn:sha1:"), name).alias("urn"), "size", "copies", "first_doc", post_sector_path(name).alias("path"))
 
 
 @query("SELECT source, count(*) AS blobs, count(DISTINCT sha1(text)) AS kept, count(DISTINCT sha1(text)) / count(*) AS ratio FROM documents GROUP BY source")
@@ -74,8 +76,8 @@ def blob_verify(spark, d):
 
 @query(f"SELECT source AS sector, substr({b32('sha1(text)')}, 1, 2) AS prefix, count(DISTINCT sha1(text)) AS blobs FROM documents GROUP BY 1, 2")
 def blob_store_sectors(spark, d):
-    docs = read(spark, d, "documents").select(F.col("source").alias("sector"), sha1_urn(F.col("text")).alias("urn"))
-    return docs.groupBy("sector", F.substring("urn", 10, 2).alias("prefix")).agg(F.count_distinct("urn").alias("blobs"))
+    docs = read(spark, d, "documents").select(F.col("source").alias("sector"), F.sha1(F.col("text").cast("binary")).alias("h")).distinct()
+    return docs.groupBy("sector", F.substring(base32_of_hex(F.substring("h", 1, 5), 2), 1, 2).alias("prefix")).agg(F.count("*").alias("blobs"))
 
 
 @query("""SELECT h AS sha1, source, doc_id FROM (SELECT sha1(text) AS h, source, doc_id, row_number() OVER (PARTITION BY sha1(text) ORDER BY CASE WHEN source IN ('src0', 'src1') THEN 0 ELSE 1 END, source, doc_id) AS k FROM documents) WHERE k = 1""")
@@ -166,10 +168,10 @@ def query_args(spark, d):
 # Order and trees
 
 
-@query(f"SELECT source, row_number() OVER (ORDER BY {natural('source')}) AS rank FROM (SELECT DISTINCT source FROM documents)")
+@query(f"SELECT source, row_number() OVER (ORDER BY {natural('source')}, source) AS rank FROM (SELECT DISTINCT source FROM documents)")
 def natural_sort_rank(spark, d):
     sources = read(spark, d, "documents").select("source").distinct()  # as many as there are sources
-    return sources.select("source", F.row_number().over(Window.orderBy(natural_key(F.col("source")))).cast("long").alias("rank"))
+    return sources.select("source", F.row_number().over(Window.orderBy(natural_key(F.col("source")), "source")).cast("long").alias("rank"))
 
 
 TREE = "SELECT r_name || '/' || n_name || '/' || replace(c_name, '#', '-') AS path, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
@@ -211,13 +213,29 @@ def subtree_rollup(spark, d):
     return both.groupBy("o_custkey").agg(F.max("newest").alias("newest"), F.sum("blobs").alias("blobs"), F.bool_and("fully_stored").alias("fully_stored"))
 
 
-@query("""WITH n AS (SELECT n_regionkey, sha1(string_agg(n_name || ':' || sha1(n_name), chr(10) ORDER BY n_name)) AS id FROM nation GROUP BY 1), r AS (SELECT r_name, id FROM n JOIN region ON n_regionkey = r_regionkey)
-SELECT r_name AS path, id FROM r UNION ALL SELECT '' AS path, sha1(string_agg(r_name || ':' || id, chr(10) ORDER BY r_name)) AS id FROM r""")
+def directory(level: str, up: str, kind: str, of: str) -> str:
+    """DuckDB's documents of the directories `up` of rows of `of`, with their addresses."""
+    start = f'<Directory xmlns="{NAMESPACE}" xmlns:rdf="{RDF}">\n\t<entries rdf:parseType="Collection">\n'
+    entry = f"""E'\\t\\t<DirectoryEntry>\\n\\t\\t\\t<name>' || name || E'</name>\\n\\t\\t\\t<target>\\n\\t\\t\\t\\t<{kind} rdf:about="' || id || E'"/>\\n\\t\\t\\t</target>\\n\\t\\t</DirectoryEntry>\\n'"""
+    start = start.replace("\n", "\\n").replace("\t", "\\t")
+    return f"""{level}x AS (SELECT {up} AS path, sha1(E'{start}' || string_agg({entry}, '' ORDER BY name) || E'\\t</entries>\\n</Directory>\\n') AS h FROM {of} GROUP BY 1),
+        {level} AS (SELECT path, string_split(path, '/')[-1] AS name, 'x-rdf-subject:urn:sha1:' || {b32('h')} AS id FROM {level}x)"""
+
+
+@query(f"""WITH t AS ({TREE}), c AS (SELECT path, string_split(path, '/')[3] AS name, 'urn:md5:' || md5(path) AS id FROM t), {directory('n', "regexp_replace(path, '/[^/]*$', '')", 'Blob', 'c')},
+{directory('r', "regexp_replace(path, '/[^/]*$', '')", 'Directory', 'n')}, {directory('z', "''", 'Directory', 'r')}
+SELECT path, id FROM n UNION ALL SELECT path, id FROM r UNION ALL SELECT path, id FROM z""")
 def merkle_ids(spark, d):
-    listing = lambda name, id_: F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), F.col(id_).alias("i")))), lambda e: F.concat_ws(":", e["n"], e["i"])), "\n").cast("binary")).alias("id")
-    nations = read(spark, d, "nation").withColumn("id", F.sha1(F.col("n_name").cast("binary"))).groupBy("n_regionkey").agg(listing("n_name", "id"))
-    regions = nations.join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("path"), "id")
-    return regions.unionByName(regions.agg(listing("path", "id")).select(F.lit("").alias("path"), "id"))
+    """Addresses of all directories, each by the document of its entries and their addresses."""
+    files = customer_tree(spark, d).select("path", F.concat(F.lit("urn:md5:"), F.md5(F.col("path").cast("binary"))).alias("urn"))
+    return merkle.directory_ids(changes.entries(files)).select("path", "id")
+
+
+@query(f"""WITH t AS (SELECT path, CAST(c_custkey AS BIGINT) AS modified, c_custkey % 50 <> 0 AS stored FROM ({TREE}))
+SELECT CASE k WHEN 0 THEN '' ELSE array_to_string(string_split(path, '/')[1:k], '/') END AS path, max(modified) AS newest, bool_and(stored) AS fully_stored, count(*) AS blobs FROM t, (VALUES (0), (1), (2)) v(k) GROUP BY 1""")
+def tree_rollup(spark, d):
+    """The latest time in each subtree, and whether all of it is stored."""
+    return merkle.rollup(customer_tree(spark, d).select("path", F.col("c_custkey").cast("long").alias("modified"), (F.col("c_custkey") % 50 != 0).alias("stored")))
 
 
 OLD, NEW = "SELECT CAST(o_custkey AS VARCHAR) || '/' || CAST(o_orderkey AS VARCHAR) AS path, md5(CAST(o_orderkey % 5 AS VARCHAR)) AS urn FROM orders WHERE o_orderkey % 4 <> 0", "SELECT CAST(o_custkey AS VARCHAR) || '/' || CAST(o_orderkey AS VARCHAR) AS path, md5(CAST(o_orderkey % 5 + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS VARCHAR)) AS urn FROM orders WHERE o_orderkey % 5 <> 0"
