@@ -3,8 +3,9 @@
 A graph of each vector's nearest neighbours starts from sorts along random hyperplane
 codes and is refined by comparing the neighbours of each vector, and the vectors it is a
 neighbour of, with each other, until few lists change. These steps take a byte for each
-component, and every pair that is ever found within SLACK of the threshold is a
-candidate. Lists that candidates connect are enlarged to the whole component: it is
+component, and every pair that is ever found so near the threshold that the bytes may
+hide a link is a candidate: what they can change a cosine by follows from the largest
+distance of a vector to its bytes, which is measured. Lists that candidates connect are enlarged to the whole component: it is
 compared in double precision, block by block, so that no link inside it is lost and none
 below the threshold stays. Recall is audited against brute force over a sample; while it
 is low, more sorts are made. Exact copies are one vector with a weight throughout.
@@ -12,20 +13,22 @@ is low, more sorts are made. Exact copies are one vector with a weight throughou
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import components, cut
+from cairn.llm.common import components, cut, sampled
+
+LOG = logging.getLogger(__name__)
 
 #: Neighbours in a list; sorts of the first graph and neighbours compared in each; rounds.
 K, TABLES, NEXT, ROUNDS = 10, 16, 6, 3
 #: The audit's queries, and the recall at which no more sorts are made.
 AUDIT, ENOUGH = 256, 0.99
 BLOCK = 512
-#: What a byte for each component may change a cosine by.
-SLACK = 0.005
 EDGE = "src long, dst long, sim double"
 
 
@@ -40,15 +43,17 @@ def _small(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def small_vectors(nodes: DataFrame, dim: int) -> DataFrame:
-    """(id, small) of nodes' id and unit: each component's share of the largest one, from -127 to 127."""
+    """(id, small, far) of nodes' id and unit: each component's share of the largest one, from -127 to
+    127; far: the distance of what the bytes stand for, at length 1, to the vector."""
 
     def run(batches):
         for batch in batches:
             x = _matrix(batch.column(1), dim)
-            x = np.rint(127 * x / np.abs(x).max(1, keepdims=True)).astype(np.int8) if len(x) else x
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "small"])
+            small = np.rint(127 * x / np.abs(x).max(1, keepdims=True)) if len(x) else x
+            far = np.linalg.norm(small / np.linalg.norm(small, axis=1, keepdims=True) - x, axis=1) if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in small.astype(np.int8)], pa.binary()), pa.array(far)], ["id", "small", "far"])
 
-    return nodes.select("id", "unit").mapInArrow(run, "id long, small binary")
+    return nodes.select("id", "unit").mapInArrow(run, "id long, small binary, far double")
 
 
 def _edges(src, dst, sim) -> pa.RecordBatch:
@@ -223,41 +228,52 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """(id_col, n_links, component_id, kept), one row per row of vectors.
 
     n_links: other rows linked directly; component_id: the smallest id reachable; kept:
-    it is the row's own. Null, empty and zero vectors, vectors with null or non-finite
-    components, and vectors that are not of the table's most common length link with
-    nothing. Rows that repeat an id count as rows of their own; a null id is never the
-    smallest, unless all are null. Empty table: no rows. Other columns are not read.
+    it is the row's own. Null, empty and zero vectors, and vectors with null or non-finite
+    components link with nothing; vectors link with vectors of their own length only, each
+    length by itself. Rows that repeat an id count as rows of their own; a null id is never
+    the smallest, unless all are null. Empty table: no rows. Other columns are not read.
+    The recall over the audit's vectors is logged, as a warning where it is under ENOUGH.
     """
-    rows = cut(unit_vectors(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))))
-    common = rows.where("unit is not null").groupBy(F.octet_length("unit").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    alone = lambda r: r.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if not common:
-        return alone(rows)
-    dim, fits = common[0] // 8, F.coalesce(F.octet_length("unit") == common[0], F.lit(False))
-    nodes = cut(rows.where(fits).groupBy("unit").agg(F.min("id").alias("least"), F.count("*").alias("copies")).repartition("unit").withColumn("id", F.monotonically_increasing_id()))
+    rows = cut(unit_vectors(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))).withColumn("size", F.octet_length("unit")))
+    sizes = sorted(r[0] for r in rows.where("unit IS NOT NULL").groupBy("size").count().where("count > 1").select("size").collect())
+    others = rows.where(~F.coalesce(F.col("size").isin(sizes), F.lit(False))) if sizes else rows
+    out = others.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    for size in sizes:
+        out = out.unionByName(_of_length(rows.where(F.col("size") == size).select("id", "unit"), size // 8, id_col, threshold, k, tables, rounds))
+    return out
+
 
+def _of_length(rows: DataFrame, dim: int, id_col: str, threshold: float, k: int, tables: int, rounds: int) -> DataFrame:
+    nodes = cut(rows.groupBy("unit").agg(F.min("id").alias("least"), F.count("*").alias("copies")).repartition("unit").withColumn("id", F.monotonically_increasing_id()))
     small = cut(small_vectors(nodes, dim))
+    far, total_nodes = small.agg(F.max("far"), F.count("*")).first()
+    small = small.select("id", "small")
+    near = threshold - (2 * far + far * far) - 1e-6  # |<u, v> - <u', v'>| is at most far + far + far * far
     edges = graph = None
     for more in range(3):
-        pairs = cut(sorted_pairs(small, dim, tables, more, threshold - SLACK))
+        pairs = cut(sorted_pairs(small, dim, tables, more, near))
         edges = pairs if edges is None else edges.withColumn("sim", F.lit(1.0)).unionByName(pairs)
         graph = cut(best(pairs if graph is None else graph.unionByName(pairs), k))
         for _ in range(rounds):
-            found = cut(local_join(graph, small, dim, k, threshold - SLACK))
+            found = cut(local_join(graph, small, dim, k, near))
             edges = edges.unionByName(found)
             better = cut(best(graph.unionByName(found), k))
             size, same = better.join(graph.select("src", "dst", F.lit(1).alias("had")), ["src", "dst"], "left").agg(F.count("*"), F.count("had")).first()
             changed, graph = size - same, better
             if changed <= 0.01 * size:
                 break
-        edges = cut(edges.where((F.col("sim") >= threshold - SLACK) & (F.col("src") < F.col("dst"))).select("src", "dst").distinct())
-        queries = [(r[0], bytes(r[1])) for r in nodes.select("id", "unit").orderBy(F.xxhash64("id")).limit(AUDIT).collect()]
+        edges = cut(edges.where((F.col("sim") >= near) & (F.col("src") < F.col("dst"))).select("src", "dst").distinct())
         group = cut(components(edges, "src", "dst"))
+        linked = group.select(F.col("node").alias("id")).join(nodes.select("id", "unit"), "id")  # half of the audit: vectors with candidates
+        some = sampled(linked, "id", AUDIT // 2, group.count()).unionByName(sampled(nodes.select("id", "unit"), "id", AUDIT // 2, total_nodes)).dropDuplicates(["id"])
+        queries = [(r[0], bytes(r[1])) for r in some.collect()]
         truth = brute(nodes, queries, dim, threshold)
         of = lambda c: group.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
         seen, total = truth.join(of("src"), "src", "left").join(of("dst"), "dst", "left").agg(F.count(F.when(F.col("src_in") == F.col("dst_in"), 1)), F.count("*")).first()
         if total == 0 or seen >= ENOUGH * total:
             break
+    enough = total and seen >= ENOUGH * total
+    (LOG.info if enough else LOG.warning)("links of %d audited vectors found: %d of %d%s", len(queries), seen, total, "" if total else ", so recall is not measured")
 
     exact = cut(in_components(group.select(F.col("node").alias("id"), "component").join(nodes, "id").select("component", "id", "copies", "unit"), dim, threshold))
     links = exact.where("dst is null").groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("n"))
@@ -265,5 +281,4 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     by_node = nodes.select("id", "least", "copies", "unit").join(group.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = by_node.groupBy("component").agg(F.min("least").alias("component_id"))
     final = cut(by_node.join(least, "component").select("unit", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    done = rows.where(fits).join(final, "unit").select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
-    return done.unionByName(alone(rows.where(~fits)))
+    return rows.join(final, "unit").select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

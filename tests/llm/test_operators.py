@@ -256,6 +256,27 @@ def test_joined_items(spark):
     assert {r[0] for r in decontaminate.clean(d, i).select("doc_id").collect()} == {r[0] for r in d.select("doc_id").collect()} - gone
 
 
+def test_vectors_that_bytes_hide(spark):
+    """Links between long vectors with one large component, whose other components are less than a byte's step."""
+    rng = np.random.default_rng(7)
+    rest = rng.normal(size=(40, 1536))
+    rest -= 0.0
+    rest /= np.linalg.norm(rest, axis=1, keepdims=True)
+    pairs = []
+    for r in rest:  # cosine of each pair: just over the threshold
+        other = 0.744 * r + np.sqrt(1 - 0.744**2) * rng.permutation(r)
+        other /= np.linalg.norm(other)
+        for x in (r, other):
+            v = np.sqrt(1 - 0.9**2) * x
+            v[0] = 0.9
+            pairs.append(v / np.linalg.norm(v))
+    x = np.array(pairs)
+    cosine = x @ x.T - 2 * np.eye(len(x))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    assert got == {i: int((row >= 0.95).sum()) for i, row in enumerate(cosine)} and sum(got.values()) > 40
+
+
 def test_lines_cut(spark):
     a, b = "the first line has five words", "another line that has six words"
     df = spark.createDataFrame([(1, f"{a}\n{b}"), (2, f"{b.upper()}\nshort line\n{a}  "), (3, None)], "doc_id long, text string")
@@ -332,6 +353,9 @@ def test_odd_vectors_and_pages(spark):
     got = embeddings.near_duplicates(spark.createDataFrame([(*r, None, None, None, None) for r in rows], kind)).collect()
     assert sorted((r[1], r[2]) for r in got if r[0] == 4) == [(2, 4), (2, 4)] and len(got) == len(rows)
     assert embeddings.near_duplicates(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.001]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 1.0, 0.001]), (5, [1.0, 0.0, 0.0, 0.0])]
+    got = embeddings.near_duplicates(spark.createDataFrame([(*r, None, None, None, None) for r in rows], kind)).collect()
+    assert sorted((r[0], r[1], r[2]) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5)]  # each length by itself
     kind = "page_id long, url string, html string, host string, main string, text string"
     rows = [(1, None, None), (None, "not a url", "<p>x"), (2, "http://[bad", "plain text"), (2, "http://[bad", "plain text"), (3, "http://a/", "<div>" * 3000 + "deep" + "<b>" * 10)]
     got = pages.main_text(spark.createDataFrame([(*r, None, None, None) for r in rows], kind)).collect()
