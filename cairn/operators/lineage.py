@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the cluster's checkpoint folder, so that lost executors lose no work.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share, the one in `spark.checkpoint.dir`.
 
-    The folder is the one in `spark.checkpoint.dir`. Where that is unset a temporary one is
-    made, but only for a master in this process: on a cluster other machines would not see it.
+    Where that is unset a temporary one is made, but only for a master in this process: on a
+    cluster other machines would not see it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -21,4 +21,10 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="cairn-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the cluster's checkpoint folder, so that lost executors lose no work."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
