@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,32 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
     return done
 
 
+class Scratch:
+    """Tables of one job in the cluster's shared folder: compressed and by column, so far smaller
+    than checkpoints, as safe from lost executors, and dropped by name when no step reads
+    them any more. What a returned frame still reads stays in the folder."""
+
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{lineage.shared_folder(spark)}/{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written and read again; its shuffle files go as soon as it is written."""
+        before = self.spark.conf.get(self.CLEANUP)
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of an id as text, modulo n: the split of documents into folds."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(n)

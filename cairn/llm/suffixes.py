@@ -24,16 +24,13 @@ and only one row for each partition of a sort reaches the driver.
 from __future__ import annotations
 
 import hashlib
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm import common
-
-cut = partial(common.cut, free=True)
+from cairn.llm.common import Scratch, cut
 
 WIDTH, GRAM, CHAR = 100, 56, 12
 TRIPLE, DEEP = 3 * CHAR, 9 * CHAR
@@ -151,145 +148,178 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def _ascending(df: DataFrame, *by: str) -> DataFrame:
     """df sorted over all partitions, with an id that ascends."""
-    return cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id()))
+    return df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
+
+
+def _strings(parts: list[np.ndarray]) -> pa.Array:
+    """Rows of bytes, one width for all, as an Arrow array."""
+    rows = np.concatenate(parts) if parts else np.zeros((0, 0), np.uint8)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _cuts(starts: str):
-    """Of regions (rid, ord, start, windows, text): rows of suffixes. starts: which ones."""
+def _sampled(m: int, length: int) -> np.ndarray:
+    """Sampled places of a region of m windows, whose text has length bytes and DEEP zeros behind."""
+    at = np.arange(CHAR, min(length - DEEP, m + 2 * CHAR + 2 * TRIPLE))
+    return at[at // CHAR % 3 > 0]
+
+
+def _cuts(once: bool):
+    """Of regions (rid, windows, text): (rid, o, s) of the sampled suffixes, or, once, their strings
+    alone, each once for a batch."""
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for rid, m, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text += bytes(DEEP)
-                if starts == "sample":
-                    at = [o for o in range(CHAR, min(len(text) - DEEP, m + 2 * CHAR + 2 * TRIPLE)) if o // CHAR % 3]
-                    out[3] += (text[o : o + TRIPLE] for o in at)
-                else:
-                    at = list(range(m))
-                    h = Hashes(np.frombuffer(text, np.uint8))
-                    o = np.array(at)
-                    out[2] += _mix(h.of(o, o + WIDTH)).view(np.int64).tolist()
-                    out[3] += (text[i : i + 2 * CHAR] for i in at)
-                out[0] += [rid] * len(at)
-                out[1] += at
-            cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[3], pa.binary())]
-            names = ["rid", "o", "s"]
-            if starts != "sample":
-                cols.append(pa.array(out[2], pa.int64()))
-                names.append("prefix")
-            yield pa.RecordBatch.from_arrays(cols, names)
+            rids, places, strings = [], [], []
+            for rid, m, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = np.frombuffer(text + bytes(DEEP), np.uint8)
+                at = _sampled(m, len(data))
+                strings.append(np.lib.stride_tricks.sliding_window_view(data, TRIPLE)[at])
+                rids.append(np.full(len(at), rid))
+                places.append(at)
+            if not rids:
+                continue
+            s = _strings(strings)
+            if once:
+                yield pa.RecordBatch.from_arrays([s.unique()], ["s"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rids), pa.int64()), pa.array(np.concatenate(places), pa.int64()), s], ["rid", "o", "s"])
 
     return run
 
 
-def sample_ranks(regions: DataFrame) -> DataFrame:
+def _own(batches):
+    """Of regions (rid, windows, text, ranks): the suffix of each window with two characters, its
+    prefix, its own rank and those one and two characters behind it, -1 for none."""
+    names = ["rid", "o", "s", "prefix", "kind", "rank", "r12", "r24"]
+    for batch in batches:
+        cols: list[list[np.ndarray]] = [[] for _ in names]
+        for k, (rid, m, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
+            data, at = np.frombuffer(text + bytes(DEEP), np.uint8), np.arange(m)
+            ranks = np.full(m + 2 * CHAR, -1)
+            if batch.column(3)[k].is_valid:
+                flat = batch.column(3)[k].values
+                ranks[flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+            parts = (np.full(m, rid), at, np.lib.stride_tricks.sliding_window_view(data, 2 * CHAR)[at], _mix(Hashes(data).of(at, at + WIDTH)).view(np.int64), at // CHAR % 3, ranks[at], ranks[at + CHAR], ranks[at + 2 * CHAR])
+            for col, part in zip(cols, parts, strict=True):
+                col.append(part)
+        if cols[0]:
+            yield pa.RecordBatch.from_arrays([_strings(c) if n == "s" else pa.array(np.concatenate(c), pa.int64()) for n, c in zip(names, cols, strict=True)], names)
+
+
+def _triples(batches):
+    """Of regions (rid, windows, names): of each place that is ranked, the names there and one and
+    two triples behind, -1 for none."""
+    for batch in batches:
+        names, m = batch.column(2), batch.column(1).to_numpy()
+        size = names.value_lengths().to_numpy()
+        of = np.repeat(np.arange(len(m)), size)
+        flat = names.flatten()
+        o, name = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+        span = int(o.max(initial=0)) + 2 * TRIPLE + 1
+        key = of * span + o
+        order = np.argsort(key)
+        key, o, of, name = key[order], o[order], of[order], name[order]
+        ranked = np.flatnonzero(o < m[of] + 2 * CHAR)
+        cols = [batch.column(0).to_numpy()[of[ranked]], o[ranked], name[ranked]]
+        for by in (TRIPLE, 2 * TRIPLE):
+            at = np.minimum(np.searchsorted(key, key[ranked] + by), len(key) - 1)
+            cols.append(np.where(key[at] == key[ranked] + by, name[at], -1))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rid", "o", "a", "b", "c"])
+
+
+def sample_ranks(regions: DataFrame, tables: Scratch) -> DataFrame:
     """(rid, o, rank) of the sampled suffixes that start before windows + 2 characters."""
-    sample = regions.select("rid", "windows", "text").mapInArrow(_cuts("sample"), "rid long, o long, s binary")
-    names = _ascending(sample.select("s").distinct(), "s").select(F.xxhash64("s").alias("h"), "name")  # 8 bytes to join by, for 36
+    texts = regions.select("rid", "windows", "text")
+    # Each batch sends a string once and equal strings meet in one range, so that nothing else is shuffled for them.
+    names = texts.mapInArrow(_cuts(True), "s binary").repartitionByRange("s").distinct().sortWithinPartitions("s")
+    names = tables.write(names.select(F.xxhash64("s").alias("h"), F.monotonically_increasing_id().alias("name")), "names")  # 8 bytes to join by, for 36
+    sample = texts.mapInArrow(_cuts(False), "rid long, o long, s binary")
     named = sample.select("rid", "o", F.xxhash64("s").alias("h")).join(names, "h").groupBy("rid").agg(F.collect_list(F.struct("o", "name")).alias("names"))
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for rid, m, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                of = {x["o"]: x["name"] for x in names}
-                rows += ((rid, o, n, of.get(o + TRIPLE, -1), of.get(o + 2 * TRIPLE, -1)) for o, n in of.items() if o < m + 2 * CHAR)
-            cols = [*zip(*rows, strict=True)] or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rid", "o", "a", "b", "c"])
-
-    triples = cut(named.join(regions.select("rid", "windows"), "rid").select("rid", "windows", "names").mapInArrow(run, "rid long, o long, a long, b long, c long"))
-    ranks = _ascending(triples.select("a", "b", "c").distinct(), "a", "b", "c")
-    return triples.join(ranks, ["a", "b", "c"]).select("rid", "o", F.col("name").alias("rank"))
+    triples = named.join(regions.select("rid", "windows"), "rid").select("rid", "windows", "names").mapInArrow(_triples, "rid long, o long, a long, b long, c long")
+    triples = tables.write(triples, "triples")
+    tables.drop("names")
+    deep = tables.write(_ascending(triples.select("a", "b", "c").distinct(), "a", "b", "c"), "deep")
+    ranks = tables.write(triples.join(deep, ["a", "b", "c"]).select("rid", "o", F.col("name").alias("rank")), "ranks")
+    tables.drop("triples", "deep")
+    return ranks
 
 
-def _before(rows: DataFrame) -> DataFrame:
+def _before(rows: DataFrame, tables: Scratch, name: str) -> DataFrame:
     """Of rows (key, behind, kind, rid, o, rank), sorted by key and behind: for those of kind 0, the
     rank of the last sampled row before them, as pred, and their own place in the order."""
-    placed = cut(
-        rows.repartitionByRange("key", "behind", "kind", "rid", "o").sortWithinPartitions("key", "behind", "kind", "rid", "o")
-        .select("kind", "rid", "o", "rank", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
-    )
-    most = dict(map(tuple, placed.groupBy("part").agg(F.max("rank")).collect()))
-    carried, last = {}, -1
-    for part in sorted(most):
-        carried[part] = last
-        last = max(last, -1 if most[part] is None else most[part])
-    sent = rows.sparkSession.sparkContext.broadcast(carried)
+    by = ["key", "behind", "kind", "rid", "o"]
+    sorted_ = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("kind", "rid", "o", "rank", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
 
     def run(batches):
-        at = None
+        at, part = -1, None
         for batch in batches:
-            kind, part = batch.column(0).to_numpy(), batch.column(4).to_numpy()
-            rank = batch.column(3).fill_null(-1).to_numpy().copy()
-            if at is None and len(part):
-                at = sent.value[int(part[0])]
+            kind, rank = batch.column(0).to_numpy(), batch.column(3).fill_null(-1).to_numpy().copy()
             if len(rank):
+                part = int(batch.column(4)[0].as_py())
                 rank[0] = max(rank[0], at)
                 pred = np.maximum.accumulate(rank)
                 at = int(pred[-1])
                 own = pa.array(kind == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(1).filter(own), batch.column(2).filter(own), pa.array(pred[kind == 0]), batch.column(5).filter(own)], ["rid", "o", "pred", "place"])
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(own) for k in (1, 2)] + [pa.array(pred[kind == 0])] + [batch.column(k).filter(own) for k in (4, 5)], ["rid", "o", "pred", "part", "place"])
+        if part is not None:  # the partition's last rank, for the partitions behind it
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (-1, -1, at, part, -1)], ["rid", "o", "pred", "part", "place"])
 
-    # One task reads one partition of placed, from its start: the checkpoint keeps partitions as they are.
-    return placed.mapInArrow(run, "rid long, o long, pred long, place long")
+    placed = tables.write(sorted_.withColumn("part", F.col("part").cast("long")).mapInArrow(run, "rid long, o long, pred long, part long, place long"), name)
+    carried, last = [], -1
+    for part, most in sorted(map(tuple, placed.where("rid = -1").select("part", "pred").collect())):
+        carried.append((part, last))
+        last = max(last, most)
+    sent = F.broadcast(rows.sparkSession.createDataFrame(carried, "part long, carried long"))  # one row for each partition
+    return placed.where("rid >= 0").join(sent, "part").select("rid", "o", F.greatest("pred", "carried").alias("pred"), "place")
 
 
-def equal_windows(regions: DataFrame) -> DataFrame:
+def equal_windows(regions: DataFrame, tables: Scratch) -> DataFrame:
     """(run, ord, at): the windows of the dictionary, run numbering strings of WIDTH bytes."""
-    ranks = cut(sample_ranks(regions))
-    own = cut(regions.select("rid", "windows", "text").mapInArrow(_cuts("own"), "rid long, o long, s binary, prefix long"))
-    kind = (F.floor(F.col("o") / CHAR) % 3).cast("int")
-    own = own.withColumn("kind", kind)
-    rank_at = lambda by: ranks.select("rid", (F.col("o") - by).alias("o"), F.col("rank").alias(f"r{by}"))
-    joined = own.join(rank_at(0), ["rid", "o"], "left").join(rank_at(CHAR), ["rid", "o"], "left").join(rank_at(2 * CHAR), ["rid", "o"], "left")
-    wide = cut(joined.withColumn("rank", F.when(F.col("kind") > 0, F.col("r0"))).drop("r0"))
-    del joined, own, ranks
-    one = _before(wide.where("kind <> 2").select(F.substring("s", 1, CHAR).alias("key"), F.coalesce(f"r{CHAR}", F.lit(-1)).alias("behind"), "kind", "rid", "o", "rank"))
-    two = _before(wide.where("kind <> 1").select(F.col("s").alias("key"), F.coalesce(f"r{2 * CHAR}", F.lit(-1)).alias("behind"), "kind", "rid", "o", "rank"))
+    ranks = sample_ranks(regions, tables)
+    ranked = ranks.groupBy("rid").agg(F.collect_list(F.struct("o", "rank")).alias("ranks"))
+    own = regions.select("rid", "windows", "text").join(ranked, "rid", "left").mapInArrow(_own, "rid long, o long, s binary, prefix long, kind long, rank long, r12 long, r24 long")
+    wide = tables.write(own.withColumn("rank", F.when(F.col("kind") > 0, F.col("rank"))), "wide")
+    tables.drop("ranks")
+    one = _before(wide.where("kind <> 2").select(F.substring("s", 1, CHAR).alias("key"), F.col("r12").alias("behind"), "kind", "rid", "o", "rank"), tables, "one")
+    two = _before(wide.where("kind <> 1").select(F.col("s").alias("key"), F.col("r24").alias("behind"), "kind", "rid", "o", "rank"), tables, "two")
     merged = one.select("rid", "o", "pred", "place").join(two.select("rid", "o", F.col("pred").alias("pred2")), ["rid", "o"])
-    rest = merged.select("rid", "o", F.greatest("pred", "pred2").alias("major"), F.lit(1).alias("minor"), "place")
-    sampled = wide.where("kind > 0").select("rid", "o", F.col("rank").alias("major"), F.lit(0).alias("minor"), F.lit(0).cast("long").alias("place"))
+    rest = merged.select("rid", "o", F.greatest("pred", "pred2").alias("major"), "place")
     order = ["major", "minor", "place", "rid", "o"]
-    full = rest.unionByName(sampled).join(wide.select("rid", "o", "prefix"), ["rid", "o"]).join(regions.select("rid", "ord", "start"), "rid")
-    placed = cut(full.repartitionByRange(*order).sortWithinPartitions(*order).select("prefix", "ord", (F.col("start") + F.col("o")).alias("at"), F.spark_partition_id().alias("part")))
-
-    def ends(batches):
-        part = first = last = None
-        runs = 0
-        for batch in batches:
-            p = batch.column(0).to_numpy()
-            if len(p):
-                if first is None:
-                    first, part = int(p[0]), int(batch.column(3)[0].as_py())
-                runs += int((p[1:] != p[:-1]).sum()) + int(last is None or p[0] != last)
-                last = int(p[-1])
-        rows = [] if first is None else [(part, first, last, runs)]
-        cols = [*zip(*rows, strict=True)] or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["part", "first", "last", "runs"])
-
-    inherit: dict[int, int] = {}  # the first run of a partition that goes on with the last one's
-    before, run_of = None, -1
-    for part, first, last, runs in sorted(map(tuple, placed.mapInArrow(ends, "part long, first long, last long, runs long").collect())):
-        if before is not None and first == before:
-            inherit[part] = run_of
-        run_of = inherit.get(part, part << 33) if runs == 1 else (part << 33) + runs - 1
-        before = last
-    sent = regions.sparkSession.sparkContext.broadcast(inherit)
+    full = wide.select("rid", "o", "rank", "prefix").join(rest, ["rid", "o"], "left")
+    full = full.select("rid", "o", "prefix", F.coalesce("rank", "major").alias("major"), F.when(F.col("rank").isNull(), 1).otherwise(0).alias("minor"), F.coalesce("place", F.lit(0)).alias("place"))
+    full = tables.write(full, "full")
+    tables.drop("wide", "one", "two")
+    sorted_ = full.repartitionByRange(*order).sortWithinPartitions(*order).select("prefix", "rid", "o", F.spark_partition_id().cast("long").alias("part"))
 
     def number(batches):
-        last, base, count = None, 0, 0
+        first = last = part = None
+        count = 0
+        names = ["run", "rid", "o", "part", "last"]
         for batch in batches:
             p = batch.column(0).to_numpy()
             if len(p):
                 if last is None:
-                    base = int(batch.column(3)[0].as_py()) << 33
+                    first, part = int(p[0]), int(batch.column(3)[0].as_py())
                 k = count + np.cumsum(np.r_[last is not None and p[0] != last, p[1:] != p[:-1]])
                 count, last = int(k[-1]), int(p[-1])
-                run = np.where(k == 0, sent.value.get(base >> 33, base), base + k)
-                yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), batch.column(1), batch.column(2)], ["run", "ord", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array((part << 33) + k, pa.int64()), batch.column(1), batch.column(2), batch.column(3), pa.nulls(len(p), pa.int64())], names)
+        if part is not None:  # the partition's number of runs, its first and last prefix
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (count + 1, -1, first, part, last)], names)
 
-    return placed.mapInArrow(number, "run long, ord long, at long")
+    placed = tables.write(sorted_.mapInArrow(number, "run long, rid long, o long, part long, last long"), "order")
+    tables.drop("full")
+    inherit: list[tuple[int, int]] = []  # the first run of a partition that goes on with the last one's
+    before, run_of = None, -1
+    for part, first, last, runs in sorted(map(tuple, placed.where("rid = -1").select("part", "o", "last", "run").collect())):
+        same = before is not None and first == before
+        if same:
+            inherit.append((part << 33, run_of))
+        run_of = (run_of if same else part << 33) if runs == 1 else (part << 33) + runs - 1
+        before = last
+    sent = F.broadcast(regions.sparkSession.createDataFrame(inherit, "run long, whole long"))  # one row for each partition at most
+    runs = placed.where("rid >= 0").join(sent, "run", "left").join(regions.select("rid", "ord", "start"), "rid")
+    return runs.select(F.coalesce("whole", "run").alias("run"), "ord", (F.col("start") + F.col("o")).alias("at"))
 
 
 def _regions(batches):
@@ -314,24 +344,26 @@ def _regions(batches):
 def later_windows(docs: DataFrame) -> DataFrame:
     """(ord, at, windows): of docs (ord, t), the windows whose string starts earlier. ord: a
     distinct long for each row; smaller is earlier."""
-    counts = cut(occurrences(docs).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    found = cut(occurrences(docs).join(counts, "anchor"))
-    del counts
-    spread = cut(found.groupBy("anchor").agg((F.min("ctx") != F.max("ctx")).alias("open")))
-    first = cut(found.groupBy("anchor", "ctx").agg(F.min("ord").alias("first")))
+    tables = Scratch(docs.sparkSession)
+    counts = tables.write(occurrences(docs).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "counts")
+    found = tables.write(occurrences(docs).join(counts, "anchor"), "found")
+    tables.drop("counts")
+    first = tables.write(found.groupBy("anchor", "ctx").agg(F.min("ord").alias("first")), "first")
+    spread = first.groupBy("anchor").agg((F.count("*") > 1).alias("open"))
+    first = tables.write(first.join(spread, "anchor"), "contexts")
     marked = found.join(first, ["anchor", "ctx"]).withColumn("is_first", (F.col("ord") == F.col("first")) & F.col("fresh"))
-    marked = cut(marked.select("anchor", "ord", "at", "windows", "is_first"))
-    open_ = marked.where("is_first").join(spread.where("open"), "anchor")
-    by_doc = open_.groupBy("ord").agg(F.collect_list(F.struct("at", "windows")).alias("open"))
+    marked = tables.write(marked.select("ord", "at", "windows", "is_first", "open"), "marked")
+    tables.drop("found", "first", "contexts")
+    by_doc = marked.where("is_first AND open").groupBy("ord").agg(F.collect_list(F.struct("at", "windows")).alias("open"))
     regions = docs.join(by_doc, "ord").select("ord", "t", "open").mapInArrow(_regions, "ord long, start long, windows long, text binary")
-    del found, first, spread, open_, by_doc
-    regions = cut(regions.withColumn("rid", F.monotonically_increasing_id()))
-    runs = cut(equal_windows(regions))
-    del regions
+    regions = tables.write(regions.withColumn("rid", F.monotonically_increasing_id()), "regions")
+    runs = tables.write(equal_windows(regions, tables), "runs")
+    tables.drop("regions", "order")
     place = F.struct("ord", "at")
-    least = cut(runs.groupBy("run").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    sorted_out = runs.join(least, "run").where(place != F.col("least")).select("ord", "at", F.lit(1).cast("long").alias("windows"))
-    return marked.where("not is_first").select("ord", "at", "windows").unionByName(sorted_out)
+    least = runs.groupBy("run").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = tables.write(runs.join(least, "run").where(place != F.col("least")).select("ord", "at", F.lit(1).cast("long").alias("windows")), "later")
+    tables.drop("runs")
+    return marked.where("not is_first").select("ord", "at", "windows").unionByName(later)
 
 
 def _digest(text: bytes, windows: list) -> tuple[int, int, str]:
