@@ -47,6 +47,8 @@ LEAST_PAGES, LEAST_SHARE, TEXT_PAGES, TEXT_SHARE = 5, 0.5, 10, 0.9
 MAIN_SHARE = 0.8
 #: Templates of at most so many numbers (8 MB) are sent to every task; beyond, pages are joined with them.
 BROADCAST_NUMBERS = 1_000_000
+#: Hosts of at most so many (27 MB, as a host has 253 characters at most) are sent with their sizes.
+BROADCAST_HOSTS = 100_000
 ROOT = 0
 
 
@@ -147,7 +149,8 @@ def _held(tree: dict[int, list[int]], found: list[tuple[int, int]]) -> Counter:
 
 def host_of(url: str | None) -> str:
     try:
-        return urlsplit(url or "").hostname or ""
+        host = urlsplit(url or "").hostname or ""
+        return host if len(host) <= 253 else ""
     except ValueError:
         return ""
 
@@ -175,7 +178,8 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, main, fixed): path of the main region; hashes of texts that the template fixes."""
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector")
     seen = cut(page_tokens(pages).groupBy("host", "path", "token").agg(F.count("*").alias("pages"), vector, F.sum("chars").alias("chars"), F.min("depth").alias("depth")))
-    whole = seen.where(F.col("path") == ROOT).select("host", F.col("pages").alias("of"), F.col("chars").alias("total"))
+    whole = cut(seen.where((F.col("path") == ROOT)).select("host", F.col("pages").alias("of"), F.col("chars").alias("total")))
+    whole = F.broadcast(whole) if whole.count() <= BROADCAST_HOSTS else whole
     # Texts of one page, as most are, go before anything is dealt by host.
     enough = seen.where(F.col("pages") >= LEAST_PAGES).join(whole, "host").where(F.col("pages") >= LEAST_SHARE * F.col("of"))
     size = F.sum(F.when(F.col("path").isNull(), 1).otherwise(2))
@@ -217,7 +221,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     found = cut(templates(rows.select(F.coalesce("page_id", F.lit(-1)).alias("page"), "url", "html")))
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    host = F.when(F.length(host) <= 253, host).otherwise("")
     small = (found.agg(F.sum(F.greatest(F.size("fixed"), F.lit(0)) + 2)).first()[0] or 0) <= BROADCAST_NUMBERS
     both = rows.withColumn("host", host).join(F.broadcast(found) if small else found, "host", "left")
 
