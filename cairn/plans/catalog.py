@@ -14,7 +14,7 @@ from cairn.functions.rdf import NAMESPACE, RDF
 from cairn.functions.tiger import bitprint_urn, tiger_urn
 from cairn.functions.urn import PURE, equivalent, post_sector_path, sha1_part, sha1_urn, tiger_part
 from cairn.functions.values import RS_A, RS_B, append_path, boolean, caption, delta_ms, from_cp437, option_true, repo_ref, rs_hash, strip_subject, thumbnail_name, up_to_root
-from cairn.operators import changes, commits, merkle, trees
+from cairn.operators import caches, changes, commits, merkle, namespaces, paths, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -738,3 +738,61 @@ CASE WHEN string_split(coalesce(o.path, n.path), '/')[1] IN (SELECT path FROM m)
 FROM o FULL JOIN n ON o.path = n.path WHERE o.path IS NOT NULL OR string_split(n.path, '/')[1] NOT IN (SELECT path FROM m)""")
 def tree_merge_replace_files(spark, d):
     return changes.merge(*mixed_trees(spark, d), files="Replace")
+
+
+# Paths through commits, namespaces, caches
+
+LINKS = """SELECT 'r' || n_regionkey AS node, n_name AS step, 'n' || n_nationkey AS target FROM nation UNION ALL SELECT 'n' || c_nationkey, c_name, 'c' || c_custkey FROM customer
+UNION ALL SELECT 'x' || r_regionkey, 'target', 'r' || r_regionkey FROM region"""
+ASKED = """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE 'r' END || n_regionkey AS source,
+CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 7 = 0 THEN 'parent//' ELSE 'target//' END ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN 'NOWHERE' ELSE n_name END || '/' || c_name || CASE WHEN c_custkey % 11 = 0 THEN '/more' ELSE '//' END AS path
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+
+
+@query(f"""WITH RECURSIVE l AS ({LINKS}), walk AS (SELECT c_custkey, source AS place, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts, 'found' AS outcome FROM ({ASKED})
+UNION ALL SELECT c_custkey, coalesce(l.target, w.place), w.parts[2:], CASE WHEN l.target IS NOT NULL THEN 'found' WHEN w.place[1] IN ('r', 'n') THEN 'missing' ELSE 'not applicable' END FROM walk w LEFT JOIN l ON l.node = w.place AND l.step = w.parts[1] WHERE w.outcome = 'found' AND len(w.parts) > 0)
+SELECT c_custkey, outcome, place FROM walk WHERE outcome <> 'found' OR len(parts) = 0""")
+def follow_commit_path(spark, d):
+    nation, customer, region = (read(spark, d, x) for x in ("nation", "customer", "region"))
+    named = lambda kind, key: F.concat(F.lit(kind), key)
+    entries = nation.select(named("r", "n_regionkey").alias("directory"), F.col("n_name").alias("name"), named("n", "n_nationkey").alias("target"))
+    entries = entries.unionByName(customer.select(named("n", "c_nationkey").alias("directory"), F.col("c_name").alias("name"), named("c", "c_custkey").alias("target")))
+    commits_ = region.select(named("x", "r_regionkey").alias("commit"), named("r", "r_regionkey").alias("target"))
+    even = F.col("c_custkey") % 2 == 0
+    head = F.when(even & (F.col("c_custkey") % 7 == 0), "parent//").when(even, "target//").otherwise("")
+    path = F.concat(head, F.when(F.col("c_custkey") % 5 == 0, "NOWHERE").otherwise(F.col("n_name")), F.lit("/"), "c_name", F.when(F.col("c_custkey") % 11 == 0, "/more").otherwise("//"))
+    asked = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    asked = asked.select(F.col("c_custkey").alias("id"), F.concat(F.when(even, "x").otherwise("r"), "n_regionkey").alias("source"), path.alias("path"))
+    return paths.follow(asked, entries, commits_).select(F.col("id").alias("c_custkey"), "outcome", F.col("at").alias("place"))
+
+
+@query("""WITH n AS (SELECT doc_id, doc_id % 50 AS doc, 'http://' || source || '.example/' || lang || CASE WHEN doc_id % 3 = 0 THEN '/terms#' ELSE '/' END || 'n' || doc_id % 17 AS name FROM documents),
+k AS (SELECT *, CASE WHEN name LIKE 'http://src0.example/en/_%' THEN NULL ELSE regexp_extract(name, '^(.*[#/])', 1) END AS space FROM n),
+f AS (SELECT doc, space, row_number() OVER (PARTITION BY doc ORDER BY min(doc_id)) - 1 AS i FROM k WHERE space IS NOT NULL GROUP BY doc, space)
+SELECT doc_id, CASE WHEN name IS NULL THEN NULL WHEN k.space IS NULL THEN 'en:' || substr(name, 24) ELSE 'a' || f.i || ':' || substr(name, length(k.space) + 1) END AS short, name FROM k LEFT JOIN f ON f.doc = k.doc AND f.space = k.space""")
+def namespace_names(spark, d):
+    """Long names made short and long again."""
+    name = F.concat(F.lit("http://"), "source", F.lit(".example/"), "lang", F.when(F.col("doc_id") % 3 == 0, "/terms#").otherwise("/"), F.lit("n"), F.col("doc_id") % 17)
+    names = read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 50).alias("doc"), F.col("doc_id").alias("pos"), name.alias("name"))
+    short = namespaces.shorten(names, {"en": "http://src0.example/en/"})
+    return namespaces.expand(short.select("doc", "doc_id", "short"), short.where("prefix IS NOT NULL").select("doc", "prefix", "namespace")).select("doc_id", "short", "name")
+
+
+@query("""SELECT user_id || ':' || event_type AS key, CASE WHEN arg_max(event_id, event_id) % 3 <> 0 THEN arg_max(props, event_id) END AS value, CASE WHEN arg_max(event_id, event_id) % 3 = 0 THEN 'urn:e:' || max(event_id) END AS uri FROM events GROUP BY 1""")
+def function_results(spark, d):
+    """What is cached of each function and argument: the last result, a text or a reference."""
+    key = F.concat_ws(":", "user_id", "event_type")
+    uri = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("urn:e:"), "event_id"))
+    return caches.results(read(spark, d, "events").select(key.alias("key"), caches.stored_result(F.col("props"), uri).alias("stored"), "event_id"), "event_id")
+
+
+@query(f"""WITH t AS (SELECT doc_id, {urn("text")} AS own, sha1(text) IN (SELECT sha1(text) FROM documents WHERE lang = 'en') AS present FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, own, CASE WHEN doc_id % 4 = 2 THEN 'unverifiable' WHEN doc_id % 7 = 0 THEN 'mismatch' WHEN present THEN 'present' ELSE 'cached' END AS outcome FROM t)
+SELECT doc_id, outcome, CASE WHEN outcome = 'cached' THEN own END AS stored_urn FROM o""")
+def cache_remote_blobs(spark, d):
+    """Blobs that were fetched by address: verified, then stored if they are new."""
+    docs = read(spark, d, "documents").where("text IS NOT NULL").withColumn("own", sha1_urn(F.col("text")))
+    asked = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("urn:bitprint:"), F.substring("own", 10, 32), F.lit("." + "A" * 39))).when(F.col("doc_id") % 4 == 2, F.lit("urn:tree:tiger:" + "A" * 39)).otherwise(F.col("own"))
+    content = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    fetched = docs.select("doc_id", asked.alias("urn"), content.alias("content"))
+    return caches.cached(fetched, docs.where("lang = 'en'").select(F.col("own").alias("sha1_urn"))).select("doc_id", "outcome", "stored_urn")
