@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from cairn.functions.codecs import base32_of_hex
 
-PURE = r"^(?:x-rdf-subject:|x-parse-rdf:)?urn:(?:tree:)?(?:sha1:|tiger:|bitprint:)(.+)$"
-SUBJECT = r"^(?:x-rdf-subject:|x-parse-rdf:)"
+#: What names the RDF subject of a document, and the hashes that content is named by.
+SUBJECTS = ("x-rdf-subject:", "x-parse-rdf:")
+HASHES = ("sha1:", "tiger:", "bitprint:")
+SUBJECT = f"^(?:{'|'.join(SUBJECTS)})"
+PURE = f"{SUBJECT}?urn:(?:tree:)?(?:{'|'.join(HASHES)})(.+)$"
 
 
 def sha1_urn(content: Column) -> Column:
